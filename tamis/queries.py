@@ -1,0 +1,10 @@
+"""Registered queries of the core: name -> (query, SQL or None)."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+ORACLE: dict[str, str] = {}
