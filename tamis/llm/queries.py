@@ -19,6 +19,18 @@ def p2_share(spark, sf_dir):
     return repetition.repetition(load(spark, sf_dir, "parsed_document")).select("parsed_id", "n_words", F.round("share", 6).alias("share"), F.round("score", 4).alias("score"))
 
 
+def p5_found(spark, sf_dir):
+    from tamis.llm import neardup
+
+    return neardup.found(load(spark, sf_dir, "parsed_document"))
+
+
+def p5_groups(spark, sf_dir):
+    from tamis.llm import neardup
+
+    return neardup.NearDuplicates(load(spark, sf_dir, "parsed_document"), t=0.6, width=3).groups().withColumnRenamed("id", "parsed_id")
+
+
 def p7_ids(spark, sf_dir):
     from tamis.llm import bpe
 
