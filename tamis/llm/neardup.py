@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -139,7 +140,8 @@ def _entry_writer(levels, bits: int, buckets: int, t: float, shared: float):
             for a, b in zip(cuts[:-1], cuts[1:]):
                 firsts = np.flatnonzero(np.r_[True, doc[a + 1 : b] != doc[a : b - 1]]) + a
                 own = doc[firsts]
-                rows.append((int(bucket[a]), ids[own].tobytes(), sizes[own].astype(np.int32).tobytes(), np.diff(np.r_[firsts, b]).astype(np.int32).tobytes(), tokens[a:b].tobytes(), place[a:b].tobytes()))
+                small = [ids[own], sizes[own].astype(np.int32), np.diff(np.r_[firsts, b]).astype(np.int32)]
+                rows.append((int(bucket[a]), *(zstandard.compress(x.tobytes(), 1) for x in small), tokens[a:b].tobytes(), zstandard.compress(place[a:b].tobytes(), 1)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows))], ["bucket", "ids", "sizes", "counts", "tokens", "places"])
 
@@ -196,7 +198,8 @@ def join_bucket(ids: np.ndarray, size: np.ndarray, token: np.ndarray, place: np.
 def _joiner(t: float, shared: float):
     def join(table: pa.Table) -> pa.Table:
         def whole(name: str, kind) -> np.ndarray:
-            return np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(name)])
+            parts = table.column(name).to_pylist()
+            return np.concatenate([np.frombuffer(x if name == "tokens" else zstandard.decompress(x), kind) for x in parts])
 
         count = whole("counts", np.int32)
         a, b, n, smaller = join_bucket(np.repeat(whole("ids", np.int64), count), np.repeat(whole("sizes", np.int32), count), whole("tokens", np.uint32), whole("places", np.int32), t, shared)
@@ -233,7 +236,8 @@ class NearDuplicates:
         single = self.kept.join(chosen.distinct(), "id").select("id", "tokens")
         entries = single.mapInArrow(_entry_writer(levels, bits, buckets, t, shared), "bucket int, ids binary, sizes binary, counts binary, tokens binary, places binary")
         pairs = entries.groupBy("bucket").applyInArrow(_joiner(t, shared), "a bigint, b bigint, n int, smaller int")
-        enough = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("smaller").alias("smaller")).where(F.col("n") >= 1 + F.floor(F.lit(shared) * F.col("smaller") + 1e-9)).select("a", "b")
+        # all pairs of one set go together, next to each other, which also serves the join with that set
+        enough = pairs.repartition(partitions, "a").groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("smaller").alias("smaller")).where(F.col("n") >= 1 + F.floor(F.lit(shared) * F.col("smaller") + 1e-9)).select("a", "b")
         own = self.kept.select("id", "tokens")
         left = enough.join(own.withColumnsRenamed({"id": "a", "tokens": "x"}), "a")
         both = left.join(own.withColumnsRenamed({"id": "b", "tokens": "y"}), "b")
