@@ -195,19 +195,49 @@ def join_bucket(ids: np.ndarray, size: np.ndarray, token: np.ndarray, place: np.
     return a[first], b[first], np.diff(np.r_[first, len(a)]), smaller[first]
 
 
-def _joiner(t: float, shared: float):
-    def join(table: pa.Table) -> pa.Table:
-        def whole(name: str, kind) -> np.ndarray:
-            parts = table.column(name).to_pylist()
-            return np.concatenate([np.frombuffer(x if name == "tokens" else zstandard.decompress(x), kind) for x in parts])
+def _whole(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x if name == "tokens" else zstandard.decompress(x), kind) for x in table.column(name).to_pylist()])
+
+
+def _blobs(parts: np.ndarray, columns: list[np.ndarray]) -> list[tuple]:
+    """Rows of a part and its compressed columns; ``parts`` is sorted."""
+    cuts = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1], True]) if len(parts) else np.zeros(1, np.int64)
+    return [(int(parts[i]), *(zstandard.compress(c[i:k].tobytes(), 1) for c in columns)) for i, k in zip(cuts[:-1], cuts[1:])]
+
+
+PAIR_BLOBS = "part int, a binary, b binary, n binary, smaller binary"
+
 
-        count = whole("counts", np.int32)
-        a, b, n, smaller = join_bucket(np.repeat(whole("ids", np.int64), count), np.repeat(whole("sizes", np.int32), count), whole("tokens", np.uint32), whole("places", np.int32), t, shared)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int32()), "smaller": pa.array(smaller, pa.int32())})
+def _joiner(t: float, shared: float, parts: int):
+    """Pairs of one bucket of tokens, packed by their first set."""
+
+    def join(table: pa.Table) -> pa.Table:
+        count = _whole(table, "counts", np.int32)
+        ids, size = np.repeat(_whole(table, "ids", np.int64), count), np.repeat(_whole(table, "sizes", np.int32), count)
+        a, b, n, smaller = join_bucket(ids, size, _whole(table, "tokens", np.uint32), _whole(table, "places", np.int32), t, shared)
+        part = np.mod(a, parts)
+        order = np.argsort(part, kind="stable")
+        rows = _blobs(part[order], [a[order], b[order], n[order].astype(np.int32), smaller[order].astype(np.int32)])
+        columns = list(zip(*rows)) if rows else [()] * 5
+        return pa.table({name.split()[0]: pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, (name, c) in enumerate(zip(PAIR_BLOBS.split(", "), columns))})
 
     return join
 
 
+def _counter(shared: float):
+    """Adds up the pairs of one part; leaves those that share enough tokens at indexed places."""
+
+    def count(table: pa.Table) -> pa.Table:
+        a, b, n, smaller = _whole(table, "a", np.int64), _whole(table, "b", np.int64), _whole(table, "n", np.int32), _whole(table, "smaller", np.int32)
+        order = np.lexsort((b, a))
+        a, b, n, smaller = a[order], b[order], n[order], smaller[order]
+        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        enough = np.add.reduceat(n, first) >= 1 + np.floor(shared * smaller[first] + 1e-9)
+        return pa.table({"a": pa.array(a[first][enough]), "b": pa.array(b[first][enough])})
+
+    return count
+
+
 def jaccard(left: pa.Array, right: pa.Array) -> pa.Array:
     """Of two columns of token sets."""
     (x, nx), (y, ny) = _flat(left), _flat(right)
@@ -235,9 +265,8 @@ class NearDuplicates:
         chosen = self.members.where("id = rep").select("id")
         single = self.kept.join(chosen.distinct(), "id").select("id", "tokens")
         entries = single.mapInArrow(_entry_writer(levels, bits, buckets, t, shared), "bucket int, ids binary, sizes binary, counts binary, tokens binary, places binary")
-        pairs = entries.groupBy("bucket").applyInArrow(_joiner(t, shared), "a bigint, b bigint, n int, smaller int")
-        # all pairs of one set go together, next to each other, which also serves the join with that set
-        enough = pairs.repartition(partitions, "a").groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("smaller").alias("smaller")).where(F.col("n") >= 1 + F.floor(F.lit(shared) * F.col("smaller") + 1e-9)).select("a", "b")
+        pairs = entries.groupBy("bucket").applyInArrow(_joiner(t, shared, buckets), PAIR_BLOBS)
+        enough = pairs.groupBy("part").applyInArrow(_counter(shared), "a bigint, b bigint")
         own = self.kept.select("id", "tokens")
         left = enough.join(own.withColumnsRenamed({"id": "a", "tokens": "x"}), "a")
         both = left.join(own.withColumnsRenamed({"id": "b", "tokens": "y"}), "b")
