@@ -1,10 +1,40 @@
-"""Registered queries of the core: name -> (query, SQL or None)."""
+"""Registered queries of the core: queries() and the SQL they are held against."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tamis.functions.session import load
+from tamis.operators import nested
+
+
+def p6_found(spark, sf_dir):
+    return nested.found(load(spark, sf_dir, "scan_report"))
+
+
+def p6_schema(spark, sf_dir):
+    """The merged schema of the evidence of each threat."""
+    flat = nested.parsed(nested.findings(nested.one_each(load(spark, sf_dir, "scan_report"))), "evidence", "_json")
+    return nested.merged_schema(flat, "_json", "threat_id")
+
 
 def queries() -> dict:
-    return {}
+    found = {name: f for name, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and name != "queries" and name[0] != "_"}
+    return found
 
 
 ORACLE: dict[str, str] = {}
+
+ORACLE["p6_found"] = """
+WITH once AS (SELECT report_id, any_value(findings) AS fs, any_value(timings_ms) AS tm, any_value(metadata) AS md FROM scan_report GROUP BY report_id),
+f AS (SELECT report_id, (i - 1)::INT AS finding_no, fs[i] AS f FROM (SELECT report_id, fs, unnest(range(1, len(fs) + 1)) AS i FROM once)),
+e AS (SELECT report_id, finding_no, CASE WHEN json_valid(f.evidence) THEN f.evidence::JSON END AS j FROM f WHERE f IS NOT NULL),
+u AS (SELECT report_id, finding_no, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j ->> '$') THEN (j ->> '$')::JSON END ELSE j END AS j FROM e),
+m AS (SELECT report_id, unnest(map_entries(md)) AS kv FROM once)
+SELECT 'finding' AS child, report_id, finding_no, '$' AS path FROM f WHERE f IS NOT NULL
+UNION ALL SELECT 'evidence', u.report_id, u.finding_no, replace(t.fullkey, '"', '') FROM u, json_tree(u.j) t WHERE t.type NOT IN ('OBJECT', 'ARRAY', 'NULL')
+UNION ALL SELECT 'timing', report_id, -1, unnest(map_keys(tm)) FROM once
+UNION ALL SELECT 'metadata', report_id, -1, kv.key FROM m WHERE kv.key NOT IN ('comments', 'hidden_text', 'hex_blobs', 'pdf_comments', 'embedded_files')
+UNION ALL SELECT 'metadata', report_id, -1, kv.key || '[' || unnest(range(json_array_length(kv.value::JSON)::BIGINT)) || ']' FROM m
+  WHERE kv.key IN ('comments', 'hidden_text', 'hex_blobs', 'pdf_comments', 'embedded_files') AND json_valid(kv.value)
+"""
