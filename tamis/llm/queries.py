@@ -19,6 +19,18 @@ def p2_share(spark, sf_dir):
     return repetition.repetition(load(spark, sf_dir, "parsed_document")).select("parsed_id", "n_words", F.round("share", 6).alias("share"), F.round("score", 4).alias("score"))
 
 
+def p4_found(spark, sf_dir):
+    from tamis.llm import chunking
+
+    return chunking.found(load(spark, sf_dir, "parsed_document"))
+
+
+def p4_pieces(spark, sf_dir):
+    from tamis.llm import chunking
+
+    return chunking.split_texts(load(spark, sf_dir, "parsed_document"))
+
+
 def p5_found(spark, sf_dir):
     from tamis.llm import neardup
 
@@ -61,4 +73,6 @@ def queries() -> dict:
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[1 : f.__name__.index("_")]))}
 
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p4_found": "SELECT DISTINCT parsed_id FROM parsed_document WHERE length(text) > 4000",
+}
