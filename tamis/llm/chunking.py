@@ -59,11 +59,17 @@ class Boundaries:
         return high
 
 
+def border(text: str, at: int, limit: int, overlap: int) -> int:
+    """The cut at the end ``at`` of a range, from the characters before it alone, so that both neighbours find the same."""
+    begin = max(0, at - limit + overlap)
+    return begin + Boundaries(text[begin:at], limit).cut(2 * overlap, at - begin)
+
+
 def plan_range(text: str, begin: int, end: int, first: bool, last: bool, limit: int, overlap: int) -> list[tuple[int, int]]:
     """(start, end) of the pieces of the range text[begin:end]; text[:begin] is its halo. Offsets within ``text``."""
     found = Boundaries(text, limit)
-    at = 0 if first else found.cut(max(begin - limit + overlap, overlap), begin)
-    stop = len(text) if last else found.cut(max(end - limit + overlap, overlap), end)
+    at = 0 if first else border(text, begin, limit, overlap)
+    stop = len(text) if last else border(text, end, limit, overlap)
     pieces: list[tuple[int, int]] = []
     while True:
         start = at if first and not pieces else at - overlap
@@ -71,7 +77,7 @@ def plan_range(text: str, begin: int, end: int, first: bool, last: bool, limit:
             if stop > at:
                 pieces.append((start, stop))
             return pieces
-        cut = found.cut(at, start + limit)
+        cut = found.cut(start + 2 * overlap, start + limit)
         pieces.append((start, cut))
         at = cut
 
