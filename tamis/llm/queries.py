@@ -68,6 +68,18 @@ def p8_temperature(spark, sf_dir):
     return mixing.mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_target"), use_targets=False)[1]
 
 
+def p9_found(spark, sf_dir):
+    from tamis.llm import sentences
+
+    return sentences.found(load(spark, sf_dir, "documents"))
+
+
+def p9_sentences(spark, sf_dir):
+    from tamis.llm import sentences
+
+    return sentences.sentences(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     found = [f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()]
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[1 : f.__name__.index("_")]))}
