@@ -19,6 +19,18 @@ def p2_share(spark, sf_dir):
     return repetition.repetition(load(spark, sf_dir, "parsed_document")).select("parsed_id", "n_words", F.round("share", 6).alias("share"), F.round("score", 4).alias("score"))
 
 
+def p3_found(spark, sf_dir):
+    from tamis.llm import mojibake
+
+    return mojibake.found(load(spark, sf_dir, "parsed_document"))
+
+
+def p3_restored(spark, sf_dir):
+    from tamis.llm import mojibake
+
+    return mojibake.affected(load(spark, sf_dir, "parsed_document")).select("parsed_id", "field", "restored", F.array_join("chains", ",").alias("chains"), "complete")
+
+
 def p4_found(spark, sf_dir):
     from tamis.llm import chunking
 
