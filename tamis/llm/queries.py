@@ -7,6 +7,18 @@ from pyspark.sql import functions as F
 from tamis.functions.session import load
 
 
+def p1_found(spark, sf_dir):
+    from tamis.llm import pii
+
+    return pii.found(load(spark, sf_dir, "parsed_document"), load(spark, sf_dir, "name_list"))
+
+
+def p1_redacted(spark, sf_dir):
+    from tamis.llm import pii
+
+    return pii.redacted(load(spark, sf_dir, "parsed_document"), load(spark, sf_dir, "name_list"))
+
+
 def p2_found(spark, sf_dir):
     from tamis.llm import repetition
 
