@@ -102,10 +102,13 @@ def normalise(text: str) -> tuple[str, list[int] | None, list[int] | None]:
         text = re.sub(r"[＀-￯٠-٩۰-۹०-९‐-―−   ]", _plain, text)
     edits: list[tuple[int, int, str]] = []
     if HINT.search(text):
-        for m in DISGUISED.finditer(text):
+        at_char = 0
+        while m := DISGUISED.search(text, at_char):
             at, dots = m.group(2), re.search(DOTW, m.group(3))
+            at_char = m.end()
             if at.strip().lower() in ("at", "arobase", "arroba", "klammeraffe") and not dots:
-                continue  # plain prose
+                at_char = m.end(2)  # plain prose
+                continue
             edits.append((m.start(2), m.end(2), "@"))
             edits += [(m.start(g) + d.start(), m.start(g) + d.end(), ".") for g in (1, 3) for d in re.finditer(DOTW, m.group(g))]
     edits += [(m.start(), m.end(), "".join(WORD_DIGIT[w.lower()] for w in re.split(r"[ \-]+", m.group()))) for m in SPELLED.finditer(text)] if len(text) > 20 else []
