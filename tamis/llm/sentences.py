@@ -66,7 +66,7 @@ LAST_DOTS = rf"…(?=[.…]*+{CAPITAL_NEXT})"
 BODY = rf"(?:[^{SKIP}{OPEN}.!?…。！？।؟;;\"«“„「『]++|(?<![{THAI}])[{SKIP}]++(?![{OPEN}{THAI}]|\z)|{QUOTE}|\.(?![{SKIP}\"”»’')\]」』{OPEN}]|\z)|(?!{ASKS})[;;]|(?!{LAST_DOTS})…|[\"«“„「『])"
 ENDS = rf"(?:[!?。！？।؟]|{LAST_DOT}|\.(?=[.!?…])|{ASKS}|…)"
 #: Each token takes the blanks after it; what holds no letter and no number is no sentence.
-TOKEN = rf"(?s)(?:{OPEN}[^{CLOSE}]*+{CLOSE}|{BODY}++(?:{ENDS}++[\"”»’')\]」』]*+)?|[^{SKIP}])[{SKIP}]*+|[{SKIP}]++"
+TOKEN = rf"(?s)[{SKIP}]++|(?:{OPEN}[^{CLOSE}]*+{CLOSE}|{BODY}++(?:{ENDS}++[\"”»’')\]」』]*+)?|[^{SKIP}])[{SKIP}]*+"
 
 
 def masked(text: Column) -> Column:
