@@ -39,7 +39,7 @@ CREDIT = "|".join(f"[{w[0].upper()}{w[0]}]{w[1:]}" for w in CREDITS)
 ADVERT = rf"(?:\.(?<=[\p{{L}}\d]\.)(?=(?:{_any(DOMAINS)})\b)|<(?=\|endoftext\|>)|\*(?=\*\*)|[☆★🎬]|b(?<=(?:{CREDIT}) b)(?=y ))"
 TO_ADVERT = rf"(?:[^\r\n.<*☆★🎬b{OPEN}]++|(?!{ADVERT})[^\r\n{OPEN}])*+{ADVERT}"
 LINE_START = rf"(?m)^([ \t{FILL}\ufeff]*+)"
-UNFINISHED = rf"(?:[^\r\n{OPEN}]*[^\r\n.!?…。！？।؟{OPEN}{FILL}\s][ \t]*(?:\r\n|\r|\n)(?=[^\s{FILL}])){{0,2}}?"
+UNFINISHED = rf"(?:[^\r\n{OPEN}]*+(?<=[^\r\n.!?…。！？।؟{OPEN}{FILL}\s][ \t]{{0,2}})(?:\r\n|\r|\n)(?=[^\s{FILL}])){{0,2}}?"
 #: (pattern, replacement) in order; each keeps the length, and begins with what few places can begin.
 MASKS = [
     (rf"(?:(?m:^)(?={JUNK})|\G(?!\A))[^\r\n]", FILL),
