@@ -36,7 +36,7 @@ def test_risk(spark, rows, want):
 
 def test_config(tmp_path):
     assert Config().with_profile("strict").thresholds.block == 0.5
-    assert Config().with_profile("nonsense") .thresholds == PROFILES["balanced"][0]
+    assert Config().with_profile("nonsense").thresholds == PROFILES["balanced"][0]
     assert Config.from_env(env={"TAMIS_PROFILE": "lenient", "TAMIS_LIMITS__MAX_MB": "3", "TAMIS_ENABLE_ATS": "false"}).limits.max_mb == 25
     assert Config.from_env(env={"TAMIS_LIMITS__MAX_MB": "3"}).limits.max_mb == 3
 
