@@ -99,7 +99,7 @@ def prompt_injection_all(text: Column, others: Column) -> Column:
     """The body and each further text (comments, hidden text) on its own, and what their base64 runs decode to."""
     every = F.filter(F.concat(F.array(text), F.coalesce(others, F.array().cast("array<string>"))), lambda t: F.coalesce(F.length(t) > 0, F.lit(False)))
     clean = F.transform(every, strip_stealth)
-    plain = F.flatten(F.transform(clean, prompt_injection))
+    plain = F.flatten(F.transform(clean, lambda t: prompt_injection(t)))
     runs = F.flatten(F.transform(clean, lambda t: F.regexp_extract_all(t, F.lit(r"(?:[A-Za-z0-9+/]{4}){20,}(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?"), F.lit(0))))
     decoded = F.transform(runs, lambda r: F.regexp_replace(F.decode(F.try_to_binary(r, F.lit("base64")), "ISO-8859-1"), r"[^\x09\x0A\x0D\x20-\x7E]", ""))
     inner = F.flatten(F.transform(F.filter(decoded, lambda t: F.coalesce(F.length(t) > 10, F.lit(False))), lambda t: prompt_injection(t, " (Base64 Decoded)")))
