@@ -132,6 +132,19 @@ def test_mojibake():
     assert mojibake.repair("compt� 3") == (None, ["lossy"], False)
 
 
+def test_mojibake_chain_of_the_whole_field():
+    for right, chain in [
+        ("Для склада ключи описали архивы, а заявки нашли из месяца в месяц.", ("koi8-r", "cp1251", 1)),
+        ("закрытия заявки описали ключи", ("koi8-r", "cp1251", 1)),  # no word that looks garbled by itself
+        ("Por último costó 20 € según los exámenes – números de álbumes.", ("cp1252", "cp437", 1)),
+        ("Déclaration d’été à l’hôte", ("cp1252", "mac_roman", 1)),
+    ]:
+        assert mojibake.repair(mojibake.garble(right, chain)) == (right, [mojibake.name(chain)], True)
+    garbled = mojibake.garble("Для склада ключи описали архивы", ("koi8-r", "cp1251", 1))
+    assert mojibake.repair(garbled + " 日本語")[2] is False
+    assert not any(mojibake.repair(t) for t in ["НАКЛАДНЫЕ ПЕРЕДАЛИ ОТЧЁТЫ", "ОТЧЁТ за месяц", "Sutum’s report “5387”", "€1346 – €4"])
+
+
 def test_personal_data(spark):
     names = spark.createDataFrame([("Zudra", "given"), ("Sorin", "given"), ("Lindoford", "family"), ("Quimquist", "family"), (None, None)], "name string, kind string")
     text = "Dr. Zudra Lindoford, x@y.example or z (at) w [dot] test, call (402) 555-0105, ID 666-72-9566, 12 Oak Lane; Quimquist, Sorin. The Lindoford index. Lindoford & Sons"
