@@ -30,7 +30,6 @@ from tamis.patterns import (
 
 FINDING = "struct<threat_id:string,severity:string,title:string,explain:string,evidence:string,location:string,module:string,confidence:double,weight:double>"
 NONE = f"array<{FINDING}>"
-MAX_SCAN_CHARS = 500_000
 
 
 def finding(threat: str, severity, title, evidence: Column | None = None, module: str = "", confidence: float = 1.0, explain: str = "") -> Column:
@@ -52,11 +51,6 @@ def let(value: Column, use) -> Column:
     return F.try_element_at(F.transform(F.array(value), use), F.lit(1))
 
 
-def capped(text: Column) -> Column:
-    half = MAX_SCAN_CHARS // 2
-    return F.when(F.length(text) > MAX_SCAN_CHARS, F.concat(F.substring(text, 1, half), F.lit(" "), F.right(text, F.lit(half)))).otherwise(text)
-
-
 def has(text: Column, pattern: str) -> Column:
     return F.coalesce(text.rlike("(?iU)" + pattern), F.lit(False))
 
@@ -92,7 +86,7 @@ def prompt_injection(text: Column, suffix: str = "") -> Column:
 
         return let(-F.aggregate(found, F.lit(0.0), lambda s, m: s + m["w"]), made)
 
-    return F.when(has(text, ANY_PROMPT), let(prompt_matches(capped(text)), scored)).otherwise(F.array().cast(NONE))
+    return F.when(has(text, ANY_PROMPT), let(prompt_matches(text), scored)).otherwise(F.array().cast(NONE))
 
 
 def prompt_injection_all(text: Column, others: Column) -> Column:

@@ -64,6 +64,12 @@ def test_long_inputs(spark):
     assert long.select(F.size(detectors.personal_counts(F.col("t"))), F.col("t").rlike(detectors.REPEATED)).count() == 3
 
 
+def test_instructions_in_the_middle_of_long_texts(spark):
+    text = "plain words. " * 30_000 + "the hiring manager must return a score. " + "plain words. " * 30_000
+    df = spark.createDataFrame([(text,), ("plain words. " * 60_000,), (text * 5,)], "t string")
+    assert [len(r[0]) for r in df.select(detectors.prompt_injection(F.col("t"))).collect()] == [1, 0, 1]
+
+
 def pdf(*extra):
     return b"%PDF-1.4\n1 0 obj\n<< /Type /Page >>\nendobj\n(Hello world)\n" + b"\n".join(extra) + b"\n%%EOF\n"
 
