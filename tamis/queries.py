@@ -357,11 +357,13 @@ def a06_late_findings(spark, sf_dir):
     return late.join(known, "report_id", "left_semi").groupBy("report_id").agg(F.count("*").alias("n_late"), F.countDistinct("threat_id").alias("n_threats"))
 
 
+ALL_DETECTORS = Config(enable_pii=True, enable_hidden_text=True, enable_obfuscation=True, enable_secrets=True, enable_rules=True)
+
+
 @query()
 def pipeline_reports(spark, sf_dir):
     """The flagship: all detectors over every parsed document."""
-    cfg = Config(enable_pii=True, enable_hidden_text=True, enable_obfuscation=True, enable_secrets=True, enable_rules=True)
-    done = pipeline.scan_parsed(load(spark, sf_dir, "parsed_document"), cfg)
+    done = pipeline.scan_parsed(load(spark, sf_dir, "parsed_document"), ALL_DETECTORS)
     return done.select("parsed_id", "file_type", "verdict", F.round("risk_score", 6).alias("risk_score"), F.size("findings").alias("n_findings"), F.array_join(F.array_sort(F.array_distinct(F.transform("findings", lambda f: f["threat_id"]))), ",").alias("threats"))
 
 
@@ -381,7 +383,7 @@ def stream_reports(spark, sf_dir):
 
     folder = checkpoint_dir(spark).rstrip("/") + f"/stream-{os.urandom(6).hex()}"
     docs = read_stream(spark, sf_dir, load(spark, sf_dir, "parsed_document").schema, "parsed_document.parquet")
-    scan_stream(docs, f"{folder}/out", f"{folder}/state").awaitTermination()
+    scan_stream(docs, f"{folder}/out", f"{folder}/state", ALL_DETECTORS).awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("parsed_id", "verdict", F.round("risk_score", 6).alias("risk_score"))
 
 

@@ -70,6 +70,16 @@ def test_instructions_in_the_middle_of_long_texts(spark):
     assert [len(r[0]) for r in df.select(detectors.prompt_injection(F.col("t"))).collect()] == [1, 0, 1]
 
 
+def test_stream_equals_batch(spark, tmp_path):
+    from tamis import queries
+
+    rows = [(1, "a.pdf", "pdf", "ssn 123-45-6789", {}), (2, "b.pdf", "pdf", detectors.EICAR, {}), (3, "c.pdf", "pdf", "plain", {})]
+    spark.createDataFrame(rows, "parsed_id long, file_path string, file_type string, text string, metadata map<string,string>").coalesce(1).write.parquet(str(tmp_path / "made"))
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "parsed_document.parquet")
+    of = lambda name: {r["parsed_id"]: (r["verdict"], r["risk_score"]) for r in queries.queries()[name](spark, str(tmp_path)).collect()}
+    assert of("stream_reports") == of("pipeline_reports") and of("stream_reports")[2][0] == "BLOCK"
+
+
 def pdf(*extra):
     return b"%PDF-1.4\n1 0 obj\n<< /Type /Page >>\nendobj\n(Hello world)\n" + b"\n".join(extra) + b"\n%%EOF\n"
 
