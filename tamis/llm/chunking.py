@@ -141,7 +141,7 @@ def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, overl
                     f.seek(max(0, begin - halo))
                     data = f.read(end - max(0, begin - halo) + 3)
                 lead = begin - max(0, begin - halo)
-                a, b = trimmed(data, lead), trimmed(data, len(data) if end == row["size"] else len(data) - 3)
+                a, b = trimmed(data, lead), trimmed(data, len(data) if end == row["size"] else end - max(0, begin - halo))
                 before = data[trimmed(data, 0) : a].decode("utf-8", "replace")
                 text = before + data[a:b].decode("utf-8", "replace")
                 spans = plan_range(text, len(before), len(text), row["range_no"] == 0, end == row["size"], limit, overlap)

@@ -96,6 +96,16 @@ def test_chunking_files(spark, tmp_path):
     assert pieces[0] + "".join(p[200:] for p in pieces[1:]) == text
 
 
+@pytest.mark.parametrize("more", [1, 2, 3, 4])
+def test_chunking_files_just_over_a_range(spark, tmp_path, more):
+    text = "".join(random.Random(5).choices(string.ascii_letters, k=20_000 + more))
+    path = tmp_path / "over.txt"
+    path.write_text(text)
+    rows = chunking.split_files(spark, [str(path)], range_bytes=10_000).orderBy("piece_no").collect()
+    assert rows[0]["piece"] + "".join(r["piece"][200:] for r in rows[1:]) == text
+    assert all(text[r["start_char"] :].startswith(r["piece"]) for r in rows)
+
+
 def test_near_duplicates(spark):
     rng = random.Random(4)
     base = [[f"w{rng.randint(0, 300)}" for _ in range(rng.randint(15, 80))] for _ in range(40)]
