@@ -5,6 +5,9 @@ A parsed document has text and typed metadata columns; see ``plans.pipeline.type
 
 from __future__ import annotations
 
+import base64
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -89,14 +92,40 @@ def prompt_injection(text: Column, suffix: str = "") -> Column:
     return F.when(has(text, ANY_PROMPT), let(prompt_matches(text), scored)).otherwise(F.array().cast(NONE))
 
 
+def nfkc_all(texts: Column) -> Column:
+    """Each text of an array normalised (NFKC)."""
+
+    @F.arrow_udf("array<string>")
+    def run(batch: pa.Array) -> pa.Array:
+        return pa.array([row and [t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in row] for row in batch.to_pylist()], pa.list_(pa.string()))
+
+    return run(texts)
+
+
+def decoded(runs: Column) -> Column:
+    """What each base64 run of an array says in UTF-8, malformed bytes dropped, normalised (NFKC) and without stealth
+    characters and controls."""
+
+    @F.arrow_udf("array<string>")
+    def run(batch: pa.Array) -> pa.Array:
+        def text(r: str) -> str | None:
+            try:
+                return unicodedata.normalize("NFKC", base64.b64decode(r).decode("utf-8", "ignore"))
+            except ValueError:
+                return None
+
+        return pa.array([row and [r and text(r) for r in row] for row in batch.to_pylist()], pa.list_(pa.string()))
+
+    return F.transform(run(runs), strip_stealth)
+
+
 def prompt_injection_all(text: Column, others: Column) -> Column:
     """The body and each further text (comments, hidden text) on its own, and what their base64 runs decode to."""
     every = F.filter(F.concat(F.array(text), F.coalesce(others, F.array().cast("array<string>"))), lambda t: F.coalesce(F.length(t) > 0, F.lit(False)))
-    clean = F.transform(every, strip_stealth)
+    clean = F.transform(nfkc_all(every), strip_stealth)
     plain = F.flatten(F.transform(clean, lambda t: prompt_injection(t)))
     runs = F.flatten(F.transform(clean, lambda t: F.regexp_extract_all(t, F.lit(r"(?:[A-Za-z0-9+/]{4}){20,}(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?"), F.lit(0))))
-    decoded = F.transform(runs, lambda r: F.regexp_replace(F.decode(F.try_to_binary(r, F.lit("base64")), "ISO-8859-1"), r"[^\x09\x0A\x0D\x20-\x7E]", ""))
-    inner = F.flatten(F.transform(F.filter(decoded, lambda t: F.coalesce(F.length(t) > 10, F.lit(False))), lambda t: prompt_injection(t, " (Base64 Decoded)")))
+    inner = F.flatten(F.transform(F.filter(decoded(runs), lambda t: F.coalesce(F.length(t) > 10, F.lit(False))), lambda t: prompt_injection(t, " (Base64 Decoded)")))
     return F.concat(plain, inner)
 
 
