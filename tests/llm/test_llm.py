@@ -155,6 +155,19 @@ def test_mojibake_chain_of_the_whole_field():
     assert not any(mojibake.repair(t) for t in ["НАКЛАДНЫЕ ПЕРЕДАЛИ ОТЧЁТЫ", "ОТЧЁТ за месяц", "Sutum’s report “5387”", "€1346 – €4"])
 
 
+@pytest.mark.parametrize(
+    "right, chain",
+    [
+        ("très même père fenêtre à première vérifié", ("cp1252", "cp1250", 1)),
+        ("La petición añadió años después", ("cp1252", "cp1250", 1)),
+        ("la petición, acción, revisión, año", ("mac_roman", "cp1252", 1)),
+    ],
+)
+def test_mojibake_of_letters_that_look_clean(right, chain):
+    garbled = mojibake.garble(right, chain)
+    assert mojibake.repair(garbled) == (right, [mojibake.name(chain)], True)
+
+
 def test_personal_data(spark):
     names = spark.createDataFrame([("Zudra", "given"), ("Sorin", "given"), ("Lindoford", "family"), ("Quimquist", "family"), (None, None)], "name string, kind string")
     text = "Dr. Zudra Lindoford, x@y.example or z (at) w [dot] test, call (402) 555-0105, ID 666-72-9566, 12 Oak Lane; Quimquist, Sorin. The Lindoford index. Lindoford & Sons"
