@@ -186,3 +186,22 @@ def test_sentences(spark):
     assert [r["sentence"] for r in got] == ['"Go!" Lulinor shouted from the map.', "Dr. Kadra arrives at 6 p.m. on Friday.", "It weighs 3.5 tons... give or take.", "(THUNDER)", "Go!", "# carry me over #", "「待って。行かないで。」と言った。", "走れ！", "ใครมา", "วิ่งเร็ว"]
     assert all(text[r["start_char"]] == r["sentence"][0] for r in got)
     assert [tuple(r) for r in sentences.found(df).orderBy("start_char").collect()] == [(1, r["start_char"]) for r in got]
+
+
+def test_sentences_of_any_length(spark):
+    quote = "She said, “" + "Go now. " * 1250 + "Stop.” and left."
+    straight = 'He said, "' + "Go now. " * 1250 + 'Stop." and left.'
+    sound = "[" + "A door opens. It creaks. " * 400 + "it closes]"
+    label = "A" * 300 + ": Come in."
+    tag = '<font color="' + "x" * 500 + '">Come in.</font>'
+    own = "a\ue000b \ue001c\ue010dd. Next\ue105 one."
+    many = "Go! " * 3000
+    texts = [quote, straight, sound, label, tag, own, many, "1\n00:00:01,000 --> 00:00:02,000\n" + "NOTE " + "n" * 900 + "\nGo.", "\n\n \n", "☆"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sentences.sentences(df).orderBy("doc_id", "sentence_no").collect()
+    got = {k: [r for r in rows if r["doc_id"] == k] for k in range(len(texts))}
+    assert [[r["start_char"] for r in got[k]] for k in range(5)] == [[0], [0], [0], [302], [texts[4].index("Come")]]
+    assert got[0][0]["sentence"] == quote and got[2][0]["sentence"] == sound and got[4][0]["sentence"] == "Come in."
+    assert [r["sentence"] for r in got[5]] == ["a\ue000b \ue001c\ue010dd.", "Next\ue105 one."] and got[5][1]["start_char"] == own.index("Next")
+    assert [r["start_char"] for r in got[6]] == list(range(0, 12000, 4))
+    assert [r["start_char"] for r in got[7]] == [texts[7].index("Go.")] and not got[8]
