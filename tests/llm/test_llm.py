@@ -179,6 +179,21 @@ def test_personal_data(spark):
     assert out[1].startswith("Dr. [NAME], [EMAIL] or [EMAIL], call [PHONE], ID [ID_NUMBER], [ADDRESS]; [NAME]. The Lindoford") and out[2] is None and out[3] == ""
 
 
+def test_personal_data_in_joined_texts():
+    known = pii.Names([("Zudra", "given"), ("Sorin", "given"), ("Lindoford", "family"), ("Quimquist", "family")])
+    text = "x" * 90 + " Zudra Lindoford-Quimquist, Flat 3, 12 Oak Lane, ring oh one two three four five six seven eight, z dot y at w dot test; Straße: Neue Bachstraße 5 b, Calle de Zudra 7"
+    row, start, stop, kind = pii.scans([None, "", "Zudra", text, "Lindoford " + text, "Ѕorin Lindoford １２ Oak Lane"], known)
+    got = [(r, text[a:b] if r == 3 else (a, b), k) for r, a, b, k in zip(row.tolist(), start.tolist(), stop.tolist(), kind)]
+    want = [("Zudra Lindoford-Quimquist", "name"), ("Flat 3, 12 Oak Lane", "address"), ("oh one two three four five six seven eight", "id_number"), ("z dot y at w dot test", "email"), ("Neue Bachstraße 5 b", "address"), ("Calle de Zudra 7", "address")]
+    assert [x[1:] for x in got if x[0] == 3] == want
+    assert [k for r, _, k in got if r == 4] == [k for _, k in want]
+    assert [x[1:] for x in got if x[0] == 5] == [((0, 15), "name"), ((16, 27), "address")]
+    short = "un un un un un un"
+    codes = pii._codes(short)
+    assert list(pii._spelled(short, codes, pii.tables()[1][codes])) == [(0, 17, "111111")]
+    assert all(len(x) == 0 for x in pii.scans([], known))
+
+
 def test_sentences(spark):
     text = '1\n00:00:01,000 --> 00:00:02,000\n- "Go!" Lulinor shouted from\n\n2\n00:00:03,000 --> 00:00:04,000\n<i>the map.</i> Dr. Kadra arrives at 6 p.m. on Friday.\n\n3\n00:00:05,000 --> 00:00:06,000\nFEVIAN: It weighs 3.5 tons... give or take. (THUNDER) Go!\n\n4\n00:00:07,000 --> 00:00:08,000\n# carry me over #\n「待って。行かないで。」と言った。走れ！\nใครมา วิ่งเร็ว'
     df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "...")], "doc_id long, text string")
