@@ -126,6 +126,54 @@ def test_near_duplicates(spark):
     assert set(groups) == set(sets) and all(groups[a] == groups[b] for a, b in want)
 
 
+def test_near_duplicates_of_a_hot_group(spark):
+    """A third of the rows are edits of one text; their token lists are cut into lots, and most of their pairs are derived."""
+    rng = random.Random(6)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
+    texts = []
+    for k in range(240):
+        edit = list(base) if k % 3 == 0 else [f"v{rng.randint(0, 10**6)}" for _ in range(60)]
+        for _ in range(k % 11 if k % 3 == 0 else 0):
+            edit[rng.randrange(len(edit))] = f"e{rng.randint(0, 10**6)}"
+        texts.append(" ".join(edit))
+    df = spark.createDataFrame(list(enumerate(texts)), PARSED)
+    sets = {k: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} for k, t in enumerate(texts) if (w := t.split())}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6}
+    for hot in (neardup.HOT_ENTRIES, 16):
+        near = neardup.NearDuplicates(df, t=0.6, width=3, hot_entries=hot)
+        assert {(r["a"], r["b"]) for r in near.pairs().collect()} == want
+        saved = near.saved().first()
+        assert saved["n_derived"] > 0.5 * saved["n_candidates"]
+
+
+def test_lots_of_tokens():
+    import numpy as np
+
+    for bucket, lots, i, k in [(5, 2, 0, 1), (299, 4095, 7, 4094), (0, 3, 2, 2)]:
+        task = int(neardup.task_of(np.array([bucket]), np.array([lots]), np.array([i]), np.array([k]), 300)[0])
+        assert task % 300 == bucket and neardup.lots_of(task, 300) == (lots, i, k)
+    assert neardup.lots_of(17, 300) == (0, 0, 0)
+
+
+def test_word_hashes():
+    import pyarrow as pa
+
+    from tamis.llm.words import word_hashes
+
+    texts = ["One, two!  THREE", None, "", "don't x\u00a0y\tÉté", "ΟΔΟΣ İ", "... 12 --", "a" * 70_000, "one two"]
+    got = [[] for _ in texts]
+    for first, value, count in word_hashes(pa.array(texts), digits=True):
+        at = 0
+        for k, n in enumerate(count.tolist()):
+            got[first + k] = value[at : at + n].tolist()
+            at += n
+    table = str.maketrans("", "", string.punctuation)
+    want = [[w for w in re.split("[ \t\r\n]+", (t or "").lower().translate(table)) if w] for t in texts]
+    assert [len(g) for g in got] == [len(w) for w in want]
+    known = {}
+    assert all(known.setdefault(w, h) == h for ws, hs in zip(want, got) for w, h in zip(ws, hs)) and len(set(known.values())) == len(known)
+
+
 def test_mojibake():
     clean = ["Die Prüfer übernahmen die Schlüssel früher.", "Les contrôleurs ont reçu les clés à l’étage.", "¿Por qué los niños añadieron más?", "Никто не знал, что в спешке.", "Θ-Modul ΔT 41 °C, naïve café, SÃO BRENTO, CÂMARA, ÆTHER-70, €5 – ½ 👩‍💻"]
     assert not any(mojibake.repair(t) for t in clean)
