@@ -55,6 +55,19 @@ def p4_pieces(spark, sf_dir):
     return chunking.split_texts(load(spark, sf_dir, "parsed_document"))
 
 
+def p4_files(spark, sf_dir):
+    """The texts written one after the other into a few large files of the shared folder, and these files cut in ranges."""
+    import uuid
+
+    from tamis.functions.session import checkpoint_dir
+    from tamis.llm import chunking
+
+    folder = f"{checkpoint_dir(spark)}/p4-files-{uuid.uuid4()}"
+    load(spark, sf_dir, "parsed_document").where("text is not null").select("text").write.option("lineSep", "\n\n").text(folder)
+    pieces = chunking.split_files(spark, folder)
+    return pieces.withColumn("path", F.substring_index("path", "/", -1)).withColumn("path", F.regexp_extract("path", r"part-\d+", 0))
+
+
 def p5_found(spark, sf_dir):
     from tamis.llm import neardup
 

@@ -76,7 +76,7 @@ def test_chunking_round_trip(spark, size):
     rng = random.Random(size)
     text = "".join(rng.choice(["word ", "end. ", "para\n\n", "é👩‍💻 ", "x" * 50 + " "]) for _ in range(size))[:size]
     df = spark.createDataFrame([(1, text), (2, None), (3, "short"), (4, "y" * size)], PARSED)
-    for width in (200_000, 8500):
+    for width in (200_000, 8500, 1000):
         got = chunking.split_texts(df, range_chars=width).orderBy("parsed_id", "piece_no").collect()
         for key, whole in ((1, text), (4, "y" * size)):
             pieces = [r["piece"] for r in got if r["parsed_id"] == key]
@@ -96,14 +96,33 @@ def test_chunking_files(spark, tmp_path):
     assert pieces[0] + "".join(p[200:] for p in pieces[1:]) == text
 
 
-@pytest.mark.parametrize("more", [1, 2, 3, 4])
-def test_chunking_files_just_over_a_range(spark, tmp_path, more):
-    text = "".join(random.Random(5).choices(string.ascii_letters, k=20_000 + more))
-    path = tmp_path / "over.txt"
-    path.write_text(text)
-    rows = chunking.split_files(spark, [str(path)], range_bytes=10_000).orderBy("piece_no").collect()
-    assert rows[0]["piece"] + "".join(r["piece"][200:] for r in rows[1:]) == text
-    assert all(text[r["start_char"] :].startswith(r["piece"]) for r in rows)
+def test_cuts_do_not_depend_on_the_ranges():
+    rng = random.Random(8)
+    kinds = [["word ", "end. ", "para\n\n", "é👩‍💻 ", "x" * 50 + " "], ["x"], ["。", "日本", "」"], [" ", "\n"], [".", ")"], ["y" * 3000 + " ", "\r\n\r\n", "z" * 9000]]
+    for kind in kinds:
+        for size in (1, 199, 4000, 4001, 7801, 60_000):
+            text = "".join(rng.choice(kind) for _ in range(size))[:size]
+            whole = chunking.split(text, range_chars=10**9)
+            assert whole[0][2] + "".join(t[200:] for _, _, t in whole[1:]) == text and all(text[a:b] == t and b - a <= 4000 for a, b, t in whole)
+            for width in (700, 4000, 16_384):
+                assert chunking.split(text, range_chars=width) == whole
+
+
+@pytest.mark.parametrize("letters", [string.ascii_letters, "éüß", "日本語。", "👩💻"])
+def test_chunking_files_just_over_a_range(spark, tmp_path, letters):
+    rng = random.Random(5)
+    for more in range(5):
+        for kind in ("sized", "mixed"):
+            text = "".join(rng.choices(letters, k=20_000 // len(letters[0].encode()))) + "a" * more
+            (tmp_path / f"{kind}{more}.txt").write_text(text if kind == "sized" else text.replace(letters[0], " b. "), encoding="utf-8", newline="")
+    (tmp_path / "empty.txt").write_text("")
+    (tmp_path / "short.txt").write_text(letters)
+    rows = chunking.split_files(spark, str(tmp_path), range_bytes=10_000).orderBy("path", "piece_no").collect()
+    for path in tmp_path.iterdir():
+        text = path.read_text(encoding="utf-8", newline="")
+        got = [(r["start_char"], r["start_char"] + r["n_chars"], r["piece"]) for r in rows if r["path"].endswith("/" + path.name)]
+        assert got == chunking.split(text)
+        assert [r["piece_no"] for r in rows if r["path"].endswith("/" + path.name)] == list(range(len(got)))
 
 
 def test_near_duplicates(spark):
