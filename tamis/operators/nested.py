@@ -1,9 +1,11 @@
 """Problem 6: deeply nested reports as related flat tables.
 
 Findings, evidence, timings and metadata of scan reports become child tables that name their report and, for
-evidence, their finding. Evidence is JSON of no fixed shape: it is parsed into variants, its merged schema is
-inferred over all rows (``merged_schema``), and each nesting level is exploded once; every row carries its
-parent's path and its own ordinal, so a child table joins back to its parent.
+evidence, their finding. Evidence is JSON of no fixed shape: it is parsed once into a variant, and its merged schema is
+inferred over all rows (``merged_schema``). The schema tells how many levels there are; each is exploded once, and every
+row carries its own surrogate key, that of its parent and its ordinal, so a child table joins back to its parent. Where
+elements of different shapes meet, the schema ends in a variant; what nests below such a place is flattened by a worker.
+``child_tables`` gives the typed tables of the merged schema, one for each array level.
 
 Results: a report delivered twice counts once (by report_id); null findings, maps and evidence give no rows; null
 elements keep their positions; evidence that is no valid JSON, or a string that holds none, gives no rows; JSON nulls,
@@ -12,7 +14,12 @@ empty arrays and empty objects give no values; null values of maps keep their ke
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamis.functions.session import cut
@@ -20,8 +27,9 @@ from tamis.functions.session import cut
 # The metadata keys that hold a JSON array of strings.
 ARRAY_KEYS = ["comments", "hidden_text", "hex_blobs", "pdf_comments", "embedded_files"]
 #: The members of an object or array as (step of the path, variant); null for scalars.
-CHILDREN = """case when schema_of_variant(_v) like 'ARRAY%' then transform(try_variant_get(_v, '$', 'array<variant>'), (x, i) -> struct(concat('[', i, ']') as step, x as v))
-when schema_of_variant(_v) like 'OBJECT%' then transform(map_entries(try_variant_get(_v, '$', 'map<string,variant>')), e -> struct(concat('.', e.key) as step, e.value as v)) end"""
+CHILDREN = """coalesce(transform(try_variant_get(_v, '$', 'array<variant>'), (x, i) -> struct(concat('[', i, ']') as step, x as v)),
+transform(map_entries(try_variant_get(_v, '$', 'map<string,variant>')), e -> struct(concat('.', e.key) as step, e.value as v)))"""
+END = "\u241ctamis\u241c"  # stands after the text in an array, and is the second element only if the text is one whole value
 LEVELS_A_PLAN = 16  # deeper evidence is cut off after so many levels, to keep plans small
 
 
@@ -35,36 +43,74 @@ def findings(reports: DataFrame) -> DataFrame:
     return flat.select("report_id", "finding_no", "f.*")
 
 
-def parsed(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with the variant ``out`` of the JSON in ``text``; a JSON string is read once more; null unless the whole text is one JSON value."""
-    whole = "try_variant_get(try_parse_json(concat('[', {0}, ']')), '$[0]', 'variant') is not null and try_variant_get(try_parse_json(concat('[', {0}, ']')), '$[1]', 'variant') is null and try_parse_json(concat('{{\"v\":', {0}, '}}')) is not null"
-    once = df.withColumn(out, F.expr(f"case when {whole.format(text)} then try_parse_json({text}) end"))
-    inner = f"case when schema_of_variant({out}) = 'STRING' then try_variant_get({out}, '$', 'string') end"
-    twice = once.withColumn("_inner", F.expr(inner))
-    return twice.withColumn(out, F.expr(f"case when _inner is null then {out} when {whole.format('_inner')} then try_parse_json(_inner) end")).drop("_inner")
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def parsed(text: Column) -> Column:
+    """The variant of the JSON in a text; a JSON string is read once more; null unless the whole text is one JSON value."""
+    get = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    whole = lambda v: F.when((get(v, "$[1]", "string") == END) & get(v, "$[2]", "variant").isNull(), get(v, "$[0]", "variant"))
+    once = lambda x: let(F.try_parse_json(F.concat(F.lit("["), x, F.lit(f',"{END}"]'))), whole)
+    is_text = lambda v: F.schema_of_variant(v) == "STRING"
+    # only text that begins with a quotation mark can be a JSON string
+    return F.when(text.rlike(r'\A\s*"'), let(once(text), lambda v: F.when(is_text(v), once(get(v, "$", "string"))).otherwise(v))).otherwise(once(text))
 
 
-def depth(df: DataFrame, variant: str) -> int:
-    """The deepest nesting of arrays and objects in a variant column, in one pass over the brackets outside strings."""
-    brackets = F.regexp_replace(F.regexp_replace(F.to_json(variant), r'"(?:[^"\\]++|\\.)*+"', ""), r"[^\[\]{}]", "")
-    step = lambda s, c: F.struct((s.d + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("d"), F.greatest(s.m, s.d + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("m"))
-    deepest = F.aggregate(F.filter(F.split(brackets, ""), lambda c: c != ""), F.struct(F.lit(0).alias("d"), F.lit(0).alias("m")), step, lambda s: s.m)
-    return df.select(F.max(deepest)).first()[0] or 0
+def nesting(schema: str) -> int:
+    """How deep arrays and objects nest in a schema string; names between back quotes do not count."""
+    depth = deepest = 0
+    for c in re.sub(r"`(?:[^`]|``)*`", "", schema):
+        depth += (c == "<") - (c == ">")
+        deepest = max(deepest, depth)
+    return deepest
 
 
 def merged_schema(df: DataFrame, variant: str, *by: str) -> DataFrame:
-    """One merged schema for each value of ``by``: of the objects, the arrays and the scalars apart."""
-    kind = F.expr(f"case when schema_of_variant({variant}) like 'OBJECT%' then 'object' when schema_of_variant({variant}) like 'ARRAY%' then 'array' else 'scalar' end")
-    return df.where(F.col(variant).isNotNull()).groupBy(*by, kind.alias("kind")).agg(F.expr(f"schema_of_variant_agg({variant})").alias("merged"), F.count("*").alias("n"))
+    """One merged schema for each value of ``by``: of the objects, the arrays and the scalars apart. Its size grows with the number of distinct paths."""
+    kind = F.expr(f"case when {variant} is null then null when try_variant_get({variant}, '$', 'array<variant>') is not null then 'array' when try_variant_get({variant}, '$', 'map<string,variant>') is not null then 'object' else 'scalar' end")
+    # the count, and not a filter of the rows, leaves out nulls: a filter would be pushed down and have the JSON parsed twice
+    return df.select(*by, kind.alias("kind"), variant).groupBy(*by, "kind").agg(F.expr(f"schema_of_variant_agg({variant})").alias("merged"), F.count(variant).alias("n")).where("n > 0")
+
+
+def _below(text: str, path: str) -> list[tuple[str, str, int, str, str]]:
+    """path, parent path, ordinal, value, type of the scalars below a nested value."""
+    out, todo = [], [(path, "", 0, json.loads(text))]
+    while todo:
+        at, parent, ordinal, v = todo.pop()
+        if isinstance(v, dict | list):
+            inside = ((f"{at}.{k}", x) for k, x in v.items()) if isinstance(v, dict) else ((f"{at}[{i}]", x) for i, x in enumerate(v))
+            todo += [(p, at, i, x) for i, (p, x) in enumerate(inside)]
+        elif v is not None:
+            value, kind = (json.dumps(v), "BOOLEAN") if isinstance(v, bool) else (v, "STRING") if isinstance(v, str) else (json.dumps(v), "BIGINT" if isinstance(v, int) else "DOUBLE")
+            out.append((at, parent, ordinal, value, kind))
+    return out
+
+
+def _deeper(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    kind = pa.list_(pa.struct([("path", pa.string()), ("parent_path", pa.string()), ("ordinal", pa.int32()), ("value", pa.string()), ("type", pa.string())]))
+    for texts, paths in batches:
+        rows = [[dict(zip(("path", "parent_path", "ordinal", "value", "type"), x)) for x in _below(t, p)] for t, p in zip(texts.to_pylist(), paths.to_pylist())]
+        yield pa.array(rows, kind)
+
+
+def surrogate(keys: list[str], path: str) -> Column:
+    """The key of a nested value, from the keys of its record and its path."""
+    return F.when(F.col(path).isNotNull(), F.xxhash64(*keys, path))
 
 
 def flatten(df: DataFrame, variant: str, keys: list[str], levels: int | None = None) -> DataFrame:
-    """``keys``, path, parent_path, ordinal, value, type of each scalar inside the variants; paths as ``$.key[0]``."""
-    levels = depth(df, variant) if levels is None else levels
-    at = df.where(F.col(variant).isNotNull()).select(*keys, F.lit("$").alias("path"), F.lit(None).cast("string").alias("parent_path"), F.lit(None).cast("int").alias("ordinal"), F.col(variant).alias("_v"))
+    """``keys``, path, parent_path, ordinal, value, type, row_key, parent_key of each scalar inside the variants; paths as ``$.key[0]``.
+
+    ``levels``: how often to explode; by default as deep as the merged schema nests."""
+    if levels is None:
+        levels = max((nesting(r["merged"]) for r in merged_schema(df, variant).collect()), default=0)
+    at = df.select(*keys, F.lit("$").alias("path"), F.lit(None).cast("string").alias("parent_path"), F.lit(None).cast("int").alias("ordinal"), F.col(variant).alias("_v"))
     for level in range(levels):
         inside = F.col("_c").isNotNull()
-        at = at.select("*", F.posexplode_outer(F.expr(CHILDREN)).alias("_pos", "_c")).where("_pos is not null or not (schema_of_variant(_v) like 'ARRAY%' or schema_of_variant(_v) like 'OBJECT%')").select(
+        opened = at.select("*", F.expr(CHILDREN).alias("_all"))
+        at = opened.select("*", F.posexplode_outer("_all").alias("_pos", "_c")).where("_pos is not null or _all is null").select(
             *keys,
             F.when(inside, F.concat("path", "_c.step")).otherwise(F.col("path")).alias("path"),
             F.when(inside, F.col("path")).otherwise(F.col("parent_path")).alias("parent_path"),
@@ -73,14 +119,54 @@ def flatten(df: DataFrame, variant: str, keys: list[str], levels: int | None = N
         )
         if level % LEVELS_A_PLAN == LEVELS_A_PLAN - 1:
             at = cut(at.withColumn("_v", F.to_json("_v"))).withColumn("_v", F.parse_json("_v"))
-    kind = F.expr("substring_index(schema_of_variant(_v), '<', 1)")
-    scalar = at.withColumn("type", kind).where(~F.col("type").isin("VOID", "OBJECT", "ARRAY"))
-    return scalar.select(*keys, "path", "parent_path", "ordinal", F.expr("try_variant_get(_v, '$', 'string')").alias("value"), "type")
+    typed = at.withColumn("type", F.expr("case when _v is not null then substring_index(schema_of_variant(_v), '<', 1) end"))
+    nested = F.col("type").isin("OBJECT", "ARRAY")
+    own = F.array(F.struct("path", "parent_path", "ordinal", F.expr("try_variant_get(_v, '$', 'string')").alias("value"), "type"))
+    scalar = typed.where(~F.col("type").isin("VOID", "OBJECT", "ARRAY")).select(*keys, F.explode(own).alias("_s"))
+    deep = typed.where(nested).select(*keys, F.explode(F.arrow_udf(_deeper, "array<struct<path: string, parent_path: string, ordinal: int, value: string, type: string>>")(F.to_json("_v"), F.col("path"))).alias("_s"))
+    every = scalar.unionByName(deep).select(*keys, "_s.*")
+    return every.withColumns({"row_key": surrogate(keys, "path"), "parent_key": surrogate(keys, "parent_path")})
+
+
+def child_tables(df: DataFrame, variant: str, keys: list[str]) -> dict[str, DataFrame]:
+    """The typed tables of the merged schema of the object variants: ``$`` for the objects, and one for each array level (path with ``[]``).
+
+    Each has ``keys``, row_key, parent_key, ordinal and a column for each scalar or variant field (named by its path below the
+    level); an array's elements that are no objects stand in ``value``. Fields whose name needs quoting are left to ``flatten``."""
+    merged = merged_schema(df, variant).where("kind = 'object'").select("merged").first()
+    if merged is None:
+        return {}
+    whole = df.sparkSession.range(0).select(F.expr(f"cast(null as {merged[0].replace('OBJECT<', 'STRUCT<')})").alias("s")).schema["s"].dataType
+    out: dict[str, DataFrame] = {}
+
+    def table(name: str, rows: DataFrame, kind) -> None:
+        fields, arrays = [], []
+
+        def walk(node, at: str, column: Column) -> None:
+            if node.typeName() == "struct":
+                for f in node.fields:
+                    if re.fullmatch(r"\w+", f.name):
+                        walk(f.dataType, f"{at}.{f.name}" if at else f.name, column.getField(f.name))
+            elif node.typeName() == "array":
+                arrays.append((at, node.elementType, column))
+            else:
+                fields.append(column.alias(at.replace(".", "_") or "value"))
+
+        walk(kind, "", F.col("_value"))
+        out[name] = rows.select(*keys, "row_key", "parent_key", "ordinal", *fields)
+        for at, element, column in arrays:
+            inner = rows.select(*keys, F.col("row_key").alias("parent_key"), F.posexplode(column).alias("ordinal", "_value"))
+            child = f"{name}.{at}[]" if at else f"{name}[]"
+            table(child, inner.withColumn("row_key", F.xxhash64("parent_key", F.lit(child), "ordinal")), element)
+
+    top = df.select(*keys, F.lit(None).cast("bigint").alias("parent_key"), F.lit(0).alias("ordinal"), F.try_variant_get(variant, "$", whole.simpleString()).alias("_value"))
+    table("$", top.where("_value is not null").withColumn("row_key", F.xxhash64(*keys, F.lit("$"))), whole)
+    return out
 
 
 def evidence(reports: DataFrame) -> DataFrame:
-    """report_id, finding_no, path, parent_path, ordinal, value, type of each scalar in the evidence of a finding."""
-    return flatten(parsed(findings(reports).select("report_id", "finding_no", "evidence"), "evidence", "_json"), "_json", ["report_id", "finding_no"])
+    """report_id, finding_no, path, parent_path, ordinal, value, type, row_key, parent_key of each scalar in the evidence of a finding."""
+    return flatten(findings(reports).select("report_id", "finding_no", parsed(F.col("evidence")).alias("_json")), "_json", ["report_id", "finding_no"])
 
 
 def timings(reports: DataFrame) -> DataFrame:

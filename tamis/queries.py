@@ -418,5 +418,5 @@ def p6_evidence(spark, sf_dir):
 @query()
 def p6_schema(spark, sf_dir):
     """The merged schema of the evidence of each threat."""
-    flat = nested.parsed(nested.findings(nested.one_each(load(spark, sf_dir, "scan_report").select("report_id", "findings"))), "evidence", "_json")
+    flat = nested.findings(nested.one_each(load(spark, sf_dir, "scan_report").select("report_id", "findings"))).select("threat_id", nested.parsed(F.col("evidence")).alias("_json"))
     return nested.merged_schema(flat, "_json", "threat_id")

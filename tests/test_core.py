@@ -142,6 +142,26 @@ def test_nested(spark):
     assert nested.found(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_nested_levels_and_child_tables(spark):
+    deep = "[" * 20 + "1" + "]" * 20
+    texts = ['{"a": [{"b": 1, "c": [true]}, {"b": 2}], "d": "x"}', '{"a": [3, "s", {"e": [[null, {"f": 0.5}]]}]}', deep, '{"g": ' + deep + "}", '"{\\"h\\": 1}"', '1,2', '1],[2', "[1", "", " ", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", nested.parsed(F.col("t")).alias("v"))
+    rows = nested.flatten(df, "v", ["id"]).collect()
+    want = {(0, "$.a[0].b", "1"), (0, "$.a[0].c[0]", "true"), (0, "$.a[1].b", "2"), (0, "$.d", "x"), (1, "$.a[0]", "3"), (1, "$.a[1]", "s"), (1, "$.a[2].e[0][1].f", "0.5"), (4, "$.h", "1")}
+    want |= {(2, "$" + "[0]" * 20, "1"), (3, "$.g" + "[0]" * 20, "1")}
+    assert {(r["id"], r["path"], r["value"]) for r in rows} == want and len(rows) == len(want)
+    assert {(r["id"], r["path"], r["value"]) for r in nested.flatten(df, "v", ["id"], levels=1).collect()} == want
+    key = {(r["id"], r["path"]): (r["row_key"], r["parent_path"], r["ordinal"]) for r in rows}
+    assert key[1, "$.a[1]"][1:] == ("$.a", 1) and len({k for k, _, _ in key.values()}) == len(want)
+    typed = spark.createDataFrame([(1, '{"a": [{"b": 1, "c": [5, 6]}, {"b": 2}], "d": "x"}'), (2, '{"d": "y", "a": []}')], "id int, t string").select("id", nested.parsed(F.col("t")).alias("v"))
+    tables = nested.child_tables(typed, "v", ["id"])
+    assert set(tables) == {"$", "$.a[]", "$.a[].c[]"}
+    top, a, c = (tables[k].collect() for k in ("$", "$.a[]", "$.a[].c[]"))
+    assert {r["d"] for r in top} == {"x", "y"} and [r["b"] for r in sorted(a, key=lambda r: r["ordinal"])] == [1, 2] and sorted(r["value"] for r in c) == [5, 6]
+    assert {r["parent_key"] for r in a} <= {r["row_key"] for r in top} and {r["parent_key"] for r in c} <= {r["row_key"] for r in a}
+    assert nested.child_tables(df.limit(0), "v", ["id"]) == {}
+
+
 def test_reports_and_plugins(spark):
     r = spark.createDataFrame([("a", "BLOCK"), ("a", "ALLOW"), ("b", "ALLOW"), ("c", "FLAG")], "file_path string, verdict string")
     m = spark.createDataFrame([("a", "block", 1), ("b", "FLAG", 1), ("c", " allow", 2), ("c", "BLOCK", 1), ("d", None, 1)], "file_path string, expected_verdict string, labelled_at long")
