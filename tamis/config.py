@@ -55,6 +55,8 @@ class Config:
     enable_pii: bool = False
     enable_secrets: bool = False
     enable_rules: bool = False
+    enable_semantic: bool = True
+    enable_docx_dos: bool = False
     allow_watermarks: bool = True
 
     def with_profile(self, name: str) -> "Config":

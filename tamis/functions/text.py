@@ -44,31 +44,34 @@ def latin1(content: Column) -> Column:
     return F.decode(content, "ISO-8859-1")
 
 
-def entropy(text: Column) -> Column:
-    """Shannon entropy in bits over distinct characters; 0 for empty and null texts."""
-
-    @F.arrow_udf("double")
-    def run(batch: pa.Array) -> pa.Array:
-        return pa.array([_entropy(np.frombuffer((t or "").encode("utf-32-le"), np.uint32)) for t in batch.to_pylist()])
-
-    return run(text)
-
-
 def byte_entropy(content: Column) -> Column:
+    """Shannon entropy in bits over bytes; 0 for empty and null values."""
+
     @F.arrow_udf("double")
     def run(batch: pa.Array) -> pa.Array:
-        return pa.array([_entropy(np.frombuffer(b or b"", np.uint8)) for b in batch.to_pylist()])
+        counts = (np.bincount(np.frombuffer(x.as_buffer(), np.uint8), minlength=256) if x.is_valid else np.zeros(256, np.int64) for x in batch)
+        return pa.array([_of_counts(c) for c in counts])
 
     return run(content)
 
 
-def _entropy(symbols: np.ndarray) -> float:
-    if not len(symbols):
-        return 0.0
-    p = np.unique(symbols, return_counts=True)[1] / len(symbols)
+def _of_counts(counts: np.ndarray) -> float:
+    p = counts[counts > 0] / max(int(counts.sum()), 1)
     return float(-(p * np.log2(p)).sum() + 0.0)
 
 
+def entropies_of(strings: list[str | None]) -> np.ndarray:
+    """Shannon entropy in bits over the characters of each string, counted together; 0 for empty and null ones."""
+    sizes = np.fromiter((len(s or "") for s in strings), np.int64, len(strings))
+    if not sizes.sum():
+        return np.zeros(len(strings))
+    codes = np.frombuffer("".join(s or "" for s in strings).encode("utf-32-le", "surrogatepass"), np.uint32)
+    keys, counts = np.unique(np.repeat(np.arange(len(strings)), sizes) << 21 | codes, return_counts=True)
+    of = keys >> 21
+    p = counts / sizes[of]
+    return np.bincount(of, -p * np.log2(p), minlength=len(strings)) + 0.0
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))

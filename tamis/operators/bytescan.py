@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tamis.config import MB, Config
-from tamis.functions.text import byte_entropy, count_of, latin1, matches
-from tamis.operators.detectors import finding, together, when
+from tamis.functions.text import count_of, matches
+from tamis.operators.detectors import finding, let, together, when
 from tamis.patterns import DOCX_KEYWORDS, DOS_STUB, PDF_ACTIVE_TOKENS, PDF_DELIMITER, PDF_FAST_TOKENS, PDF_HIGH_TOKENS
 
 PART = "struct<name:string,size:bigint,csize:bigint,external:boolean>"
@@ -18,78 +18,92 @@ def token_hit(raw: Column, token: str) -> Column:
     return F.contains(raw, F.lit(token)) & raw.rlike(token + PDF_DELIMITER)
 
 
-def pdf_tokens(raw: Column, cfg: Config) -> Column:
-    head = F.substring(raw, 1, cfg.limits.fast_pdf_token_scan_mb * MB)
-    one = lambda t: when(token_hit(head, t), finding("T3_OBFUSCATION" if t == "/Encrypt" else "T2_ACTIVE_CONTENT", "HIGH" if t in ("/OpenAction", "/Launch", "/Encrypt") else "MEDIUM", f"PDF token {t}", F.struct(F.lit(t).alias("token")), "pdf.fast_scan"))
+def say(*parts) -> Column:
+    """A sentence of literals and columns."""
+    return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+
+
+def pdf_tokens(head: Column) -> Column:
+    one = lambda t: when(token_hit(head, t), finding("T3_OBFUSCATION" if t == "/Encrypt" else "T2_ACTIVE_CONTENT", "HIGH" if t in ("/OpenAction", "/Launch", "/Encrypt") else "MEDIUM", f"Suspicious PDF Token found: {t}", f"The file holds the token {t}.", F.struct(F.lit(t).alias("token")), "fast_scan.pdf.tokens"))
     return together(*[one(t) for t in PDF_FAST_TOKENS])
 
 
-def page_count(raw: Column) -> Column:
-    """The page tree's count, else the first count (at least 1), else 1."""
-    tree = F.nullif(F.regexp_extract(raw, r"/Type\s*/Pages[^>]{0,200}?/Count\s+(\d{1,9})", 1), F.lit("")).cast("int")
-    first = F.nullif(F.regexp_extract(raw, r"/Count\s+(\d{1,9})", 1), F.lit("")).cast("int")
-    return F.coalesce(tree, F.greatest(first, F.lit(1)), F.lit(1))
+#: How the page count is found.
+PAGES_COUNT, ANY_COUNT = r"/Type\s*/Pages\s*/Count\s+(\d+)", r"/Count\s+(\d+)"
+
+
+def page_count(head: Column) -> Column:
+    """The count right behind the page tree's type, else the first count; at least 1, and 1 where there is none."""
+    number = lambda p: F.nullif(F.regexp_extract(head, p, 1), F.lit(""))
+    return F.greatest(F.coalesce(F.coalesce(number(PAGES_COUNT), number(ANY_COUNT)).try_cast("decimal(38,0)"), F.lit(1).cast("decimal(38,0)")), F.lit(1))
+
+
+STEALTH_MARKS = [("E2808B", "Zero Width Space"), ("E280AE", "Right-to-Left Override")]
+
+
+def stealth_bytes(content: Column) -> Column:
+    return together(*[when(F.contains(content, F.expr(f"x'{h}'")), finding("T3_OBFUSCATION", "HIGH", f"Suspicious Hidden Character ({name})", f"The file holds a {name}, which hides text.", F.struct(F.lit(name).alias("char")), "fast_scan.pdf.stealth")) for h, name in STEALTH_MARKS])
 
 
-def stealth_bytes(content: Column, threats: list[tuple[str, str]]) -> Column:
-    marks = [("E2808B", "Zero Width Space"), ("E280AE", "Right-to-Left Override")]
-    return together(*[when(F.contains(content, F.expr(f"x'{h}'")), finding(t, s, f"Stealth character: {name}", module="fast_scan")) for h, name in marks for t, s in threats])
+def dense(objects: Column, pages: Column) -> Column:
+    return (objects > 25_000) | ((objects > 3000) & (objects / pages > 750))
 
 
-def object_density(raw: Column) -> Column:
-    objects, pages = count_of(raw, " obj"), page_count(raw)
-    dense = (objects > 25_000) | ((objects > 3000) & (objects / F.greatest(pages, F.lit(1)) > 750))
+def object_density(head: Column) -> Column:
+    objects, pages = count_of(head, " obj"), page_count(head)
     return together(
-        when(dense, finding("T6_DOS", "HIGH", "High PDF object count", F.struct(objects.alias("objects"), pages.alias("pages")), "pdf.fast_scan")),
-        when(~dense & (pages > 2000), finding("T6_DOS", "HIGH", "High PDF page count", F.struct(pages.alias("pages")), "pdf.fast_scan")),
+        when(dense(objects, pages), finding("T6_DOS", "HIGH", "Suspicious Object Density (DoS)", say(objects, " objects on ", pages, " pages."), F.struct(objects.alias("obj_count"), pages.cast("string").alias("page_count"), (objects / pages).cast("double").alias("density")), "fast_scan.pdf.dos")),
+        when(~dense(objects, pages) & (pages > 2000), finding("T6_DOS", "HIGH", "High Page Count (DoS)", say("The page count is ", pages, "."), F.struct(pages.cast("string").alias("page_count")), "fast_scan.pdf.dos")),
     )
 
 
-def multi_signals(raw: Column, length: Column, entropy: Column) -> Column:
-    signals = F.array(count_of(raw, " obj") >= 1500, count_of(raw, "/Filter") >= 30, (entropy >= 7.95) & (length >= MB))
-    return F.size(F.filter(signals, lambda x: x))
+def multi_signals(head: Column, entropy: Column) -> Column:
+    """The names of the signals of obfuscation in the scanned bytes."""
+    name = lambda c, n: F.when(c, F.lit(n))
+    return F.array_compact(F.array(name(count_of(head, " obj") >= 1500, "high_obj_count"), name(count_of(head, "/Filter") >= 30, "high_filter_count"), name((entropy >= 7.95) & (F.length(head) >= MB), "high_entropy")))
 
 
-def pdf_dos(raw: Column, length: Column) -> Column:
-    per_kb = count_of(raw, " obj") / (length / 1024)
-    longest = F.array_max(F.transform(matches(raw, r"/Length\s+\d{4,}"), lambda x: F.regexp_extract(x, r"(\d+)$", 1).try_cast("decimal(38,0)")))
+def pdf_dos(head: Column) -> Column:
+    objects = count_of(head, " obj")
+    per_kb = objects / (F.length(head) / 1024)
+    longest = F.array_max(F.transform(matches(head, r"/Length\s+\d{4,}"), lambda x: F.regexp_extract(x, r"(\d+)$", 1).try_cast("decimal(38,0)")))
     return together(
-        when((length > 50 * 1024) & (per_kb > 300), finding("T6_DOS", "MEDIUM", "High PDF Object Density", F.struct(per_kb.alias("per_kb")), "pdf.dos", 0.7)),
-        when(longest > 100 * MB, finding("T6_DOS", "HIGH", "Large declared stream", F.struct(longest.cast("string").alias("length")), "pdf.dos", 0.8)),
+        when((F.length(head) > 50 * 1024) & (per_kb > 300), finding("T6_DOS", "MEDIUM", "High PDF Object Density (DoS Risk)", say(F.format_number(per_kb, 1), " objects a KB may exhaust a parser."), F.struct(per_kb.alias("density"), objects.alias("obj_count")), "dos_pdf.fast", 0.7)),
+        when(longest > 100 * MB, finding("T6_DOS", "HIGH", "Massive PDF Stream Declared", say("A stream of ", longest, " bytes is declared."), F.struct(longest.cast("string").alias("max_stream_size")), "dos_pdf.fast", 0.8)),
     )
 
 
-def active_content(raw: Column, cfg: Config) -> Column:
-    head = F.substring(raw, 1, cfg.limits.pdf_bytes_scan_mb * MB)
-    counts = F.filter(F.array(*[F.struct(F.lit(t).alias("token"), F.size(matches(head, t + PDF_DELIMITER)).alias("n")) for t in PDF_ACTIVE_TOKENS]), lambda x: x["n"] > 0)
-    grave = F.exists(counts, lambda x: x["token"].isin(*PDF_HIGH_TOKENS))
-    return when(F.size(counts) > 0, finding("T2_ACTIVE_CONTENT", F.when(grave, "HIGH").otherwise("MEDIUM"), "PDF active content", F.struct(counts.alias("hits")), "pdf.active_content"))
+def active_content(raw: Column) -> Column:
+    """``raw``: the first bytes, as many as the settings say."""
+    counts = F.filter(F.array(*[F.struct(F.lit(t).alias("token"), F.when(F.contains(raw, F.lit(t)), F.size(matches(raw, t + PDF_DELIMITER))).otherwise(0).alias("count")) for t in PDF_ACTIVE_TOKENS]), lambda x: x["count"] > 0)
+    grave = lambda hits: F.exists(hits, lambda x: x["token"].isin(*PDF_HIGH_TOKENS))
+    made = lambda hits: when(F.size(hits) > 0, finding("T2_ACTIVE_CONTENT", F.when(grave(hits), "HIGH").otherwise("MEDIUM"), "PDF contains active-content indicators", "The file holds keys of actions, scripts, embedded files or links.", F.struct(hits.alias("hits"), F.length(raw).alias("bytes_scanned")), "pdf.active_content"))
+    return let(counts, made)
 
 
-def embedded_bytes(path: Column, content: Column) -> Column:
-    head = F.substring(content, 1, 10 * MB)
-    raw = latin1(head)
+def embedded_bytes(path: Column, raw: Column) -> Column:
+    """``raw``: the first 10 MB as characters."""
     ole = F.locate("ÐÏ\x11à", raw) - 1
     elf = F.locate("\x7fELF", raw) - 1
     name = F.element_at(F.split(path, "/"), -1)
     benign = F.lower(path).endswith(".elf") | ((elf == 0) & ~F.contains(name, F.lit(".")))
-    t = "T7_EMBEDDED_PAYLOAD"
+    t, m = "T7_EMBEDDED_PAYLOAD", "embedded_payload.fast"
     return together(
-        when(F.lower(path).endswith(".pdf") & (ole >= 0), finding(t, "HIGH", "OLE object in PDF", F.struct(ole.alias("offset")), "embedded_payload")),
-        when(F.contains(raw, F.lit(DOS_STUB)), finding(t, "CRITICAL", "Executable stub", module="embedded_payload")),
-        when((elf >= 0) & ~benign, finding(t, "HIGH", "ELF binary", F.struct(elf.alias("offset")), "embedded_payload")),
+        when(F.lower(path).endswith(".pdf") & (ole >= 0), finding(t, "HIGH", "OLE Object Detected in PDF", "The PDF holds the head of a compound file.", F.struct(ole.alias("offset")), m)),
+        when(F.contains(raw, F.lit(DOS_STUB)), finding(t, "CRITICAL", "Embedded PE Executable Detected", "The file holds the stub of a Windows program.", module=m)),
+        when((elf >= 0) & ~benign, finding(t, "HIGH", "Embedded ELF Binary Detected", "The file holds the head of an ELF program.", F.struct(elf.alias("offset")), m)),
     )
 
 
-def pdf_fast(content: Column, length: Column, cfg: Config) -> Column:
-    raw = latin1(content)
-    n = multi_signals(raw, length, byte_entropy(content))
-    signals = when(n >= 2, finding("T3_OBFUSCATION", "HIGH", "Several obfuscation signals", F.struct(n.alias("signals")), "pdf.fast_scan"))
-    return together(pdf_tokens(raw, cfg), stealth_bytes(F.substring(content, 1, cfg.limits.fast_pdf_token_scan_mb * MB), [("T3_OBFUSCATION", "HIGH")]), object_density(raw), signals)
+def pdf_fast(head: Column, head_bytes: Column, entropy: Column) -> Column:
+    """Of the first bytes of a PDF: ``head`` as characters, and their entropy."""
+    signals = let(multi_signals(head, entropy), lambda s: when(F.size(s) >= 2, finding("T3_OBFUSCATION", "HIGH", "PDF Obfuscation Detected (Multi-Signal)", say("Signals of obfuscation: ", F.array_join(s, ", "), "."), F.struct(s.alias("signals"), count_of(head, " obj").alias("obj_count"), count_of(head, "/Filter").alias("filter_count"), entropy.alias("entropy")), "fast_scan.pdf.obfuscation")))
+    return together(pdf_tokens(head), stealth_bytes(head_bytes), object_density(head), signals)
 
 
 def size_gate(length: Column, cfg: Config) -> Column:
-    return when(length > cfg.limits.max_mb * MB, finding("T6_DOS", "HIGH", "File exceeds size limit", F.struct(length.alias("size_bytes")), "size"))
+    size = F.struct(F.round(length / MB, 2).alias("size_mb"), F.lit(cfg.limits.max_mb).alias("limit_mb"))
+    return when(length > cfg.limits.max_mb * MB, finding("T6_DOS", "HIGH", "File exceeds size limit", say("The file has ", F.format_number(length / MB, 2), f" MB; the limit is {cfg.limits.max_mb} MB."), size, "preflight"))
 
 
 # ---- parts of zipped documents: columns of sources.files.docx_columns --------------------------------------------
@@ -103,20 +117,31 @@ def docx_fast(parts: Column, xml: Column, cfg: Config) -> Column:
     total = F.aggregate(parts, F.lit(0).cast("bigint"), lambda s, p: s + p["size"])
     packed = F.aggregate(parts, F.lit(0).cast("bigint"), lambda s, p: s + p["csize"])
     odd = F.size(F.filter(parts, lambda p: (ratio(p["size"], p["csize"]) > 500) & (p["size"] > MB)))
-    each = lambda keep, t, s, title: F.transform(F.filter(parts, keep), lambda p: finding(t, s, title, F.struct(p["name"].alias("part"), p["size"].alias("size")), "docx.fast_scan"))
-    lower = F.lower(F.substring(F.coalesce(xml, F.lit("")), 1, MB))
-    words = F.transform(F.filter(F.array(*[F.lit(k) for k in DOCX_KEYWORDS]), lambda k: F.contains(lower, k)), lambda k: finding("T4_PROMPT_INJECTION", "MEDIUM", "Instruction keyword", F.struct(k.alias("keyword")), "docx.fast_scan"))
-    zero, override = F.contains(lower, F.lit("​")), F.contains(lower, F.lit("‮"))
+    n, limits = F.size(parts), cfg.limits
+    structure = "fast_scan.docx.structure"
+
+    def each(keep, t: str, s: str, title: str, explain: str, module: str) -> Column:
+        return F.transform(F.filter(parts, keep), lambda p: finding(t, s, title, say(explain, p["name"], "."), F.struct(p["name"].alias("filename"), p["size"].alias("size")), module))
+
+    text = F.substring(F.coalesce(xml, F.lit("")), 1, MB)
+    keyword = lambda k: finding("T4_PROMPT_INJECTION", "MEDIUM", "Potential Injection Keyword (Fast Scan)", say("The document holds the words ", k, "."), F.struct(k.alias("keyword")), "fast_scan.docx.keywords")
+    words = let(F.lower(text), lambda low: F.transform(F.filter(F.array(*[F.lit(k) for k in DOCX_KEYWORDS]), lambda k: F.contains(low, k)), keyword))
+    signs = [(bytes.fromhex(h).decode(), name) for h, name in STEALTH_MARKS]
+    stealth = [
+        when(F.contains(text, F.lit(sign)), finding(t, s, title.format(name), f"The document holds a {name}, which hides text.", F.struct(F.lit(name).alias("char")), "fast_scan.docx.stealth"))
+        for sign, name in signs
+        for t, s, title in (("T3_OBFUSCATION", "HIGH", "Suspicious Hidden Character ({})"), ("T4_PROMPT_INJECTION", "MEDIUM", "Potential Obfuscated Injection ({})"))
+    ]
     return together(
-        when(F.size(parts) > cfg.limits.max_docx_parts, finding("T6_DOS", "HIGH", "Too many parts", F.struct(F.size(parts).alias("parts")), "docx.fast_scan")),
-        when(total > cfg.limits.max_total_uncompressed_mb * MB, finding("T6_DOS", "HIGH", "Large uncompressed size", F.struct(total.alias("size")), "docx.fast_scan")),
-        each(lambda p: p["size"] > cfg.limits.max_single_part_mb * MB, "T6_DOS", "MEDIUM", "Large part"),
-        each(lambda p: p["name"].endswith("vbaProject.bin") | F.contains(p["name"], F.lit("macrosheets")), "T2_ACTIVE_CONTENT", "HIGH", "Macro part"),
-        each(lambda p: F.contains(p["name"], F.lit("word/embeddings/")), "T2_ACTIVE_CONTENT", "MEDIUM", "Embedded part"),
-        each(lambda p: p["external"], "T2_ACTIVE_CONTENT", "MEDIUM", "External relationship"),
+        when(n > limits.max_docx_parts, finding("T6_DOS", "HIGH", "Too many DOCX parts", say("The file has ", n, f" parts; the limit is {limits.max_docx_parts}."), F.struct(n.alias("part_count"), F.lit(limits.max_docx_parts).alias("limit")), structure)),
+        when(total > limits.max_total_uncompressed_mb * MB, finding("T6_DOS", "HIGH", "Total uncompressed size too large", say("The parts have ", total, f" bytes; the limit is {limits.max_total_uncompressed_mb} MB."), F.struct(total.alias("size")), structure)),
+        each(lambda p: p["size"] > limits.max_single_part_mb * MB, "T6_DOS", "MEDIUM", "Large individual XML part", "A part is too large: ", structure),
+        each(lambda p: p["name"].endswith("vbaProject.bin") | F.contains(p["name"], F.lit("macrosheets")), "T2_ACTIVE_CONTENT", "HIGH", "Macro/VBA Content Found", "A part holds macros: ", "fast_scan.docx.macros"),
+        each(lambda p: F.contains(p["name"], F.lit("word/embeddings/")), "T2_ACTIVE_CONTENT", "MEDIUM", "Embedded Object Found", "A part is an embedded object: ", "fast_scan.docx.ole"),
+        each(lambda p: p["external"], "T2_ACTIVE_CONTENT", "MEDIUM", "DOCX External Relationship Found", "A part links to external content: ", "fast_scan.docx.rels"),
         words,
-        *[when(c, finding(t, s, "Stealth character", module="docx.fast_scan")) for c in (zero, override) for t, s in (("T3_OBFUSCATION", "HIGH"), ("T4_PROMPT_INJECTION", "MEDIUM"))],
-        when((odd >= 2) | ((ratio(total, packed) > cfg.limits.max_expansion_ratio) & (total > 10 * MB)), finding("T6_DOS", "HIGH", "Compression anomaly", F.struct(F.round(ratio(total, packed), 2).alias("ratio")), "docx.fast_scan")),
+        *stealth,
+        when((odd >= 2) | ((ratio(total, packed) > limits.max_expansion_ratio) & (total > 10 * MB)), finding("T6_DOS", "HIGH", "Suspicious Compression Ratio", say("The parts grow by ", F.format_number(ratio(total, packed), 1), "."), F.struct(F.round(ratio(total, packed), 2).alias("ratio"), odd.alias("suspicious_parts")), structure)),
     )
 
 
@@ -125,21 +150,22 @@ def docx_format(parts: Column, relations: Column, cfg: Config) -> Column:
     ole = F.filter(parts, lambda p: lower(p).startswith("word/embeddings/") | lower(p).startswith("word/oleobject"))
     size = F.aggregate(ole, F.lit(0).cast("bigint"), lambda s, p: s + p["size"])
     return together(
-        when(F.size(relations) > 0, finding("T2_ACTIVE_CONTENT", "MEDIUM", "External relationships", F.struct(relations.alias("relationships")), "docx.external_refs")),
-        when(F.size(ole) > 0, finding("T2_ACTIVE_CONTENT", F.when((F.size(ole) > 10) | (size > cfg.limits.max_mb * MB), "HIGH").otherwise("MEDIUM"), "OLE objects", F.struct(F.size(ole).alias("objects"), size.alias("bytes")), "docx.ole")),
-        when(F.exists(parts, lambda p: p["name"].isin("word/vbaProject.bin", "vbaProject.bin")), finding("T2_ACTIVE_CONTENT", "HIGH", "VBA project", module="docx.macros")),
+        when(F.size(relations) > 0, finding("T2_ACTIVE_CONTENT", "MEDIUM", "DOCX contains external relationships (links/resources)", "The document links to content outside of it.", F.struct(relations.alias("relationships")), "docx.external_refs")),
+        when(F.size(ole) > 0, finding("T2_ACTIVE_CONTENT", F.when((F.size(ole) > 10) | (size > cfg.limits.max_mb * MB), "HIGH").otherwise("MEDIUM"), "DOCX contains embedded objects (OLE/Package)", "The document holds embedded objects.", F.struct(F.size(ole).alias("objects"), size.alias("bytes")), "docx.ole")),
+        when(F.exists(parts, lambda p: p["name"].isin("word/vbaProject.bin", "vbaProject.bin")), finding("T2_ACTIVE_CONTENT", "HIGH", "DOCX contains VBA macro project (vbaProject.bin)", "The document holds macros.", module="docx.macros")),
     )
 
 
 def docx_dos(parts: Column, cfg: Config) -> Column:
-    """Opt-in: the structure checks again, with lower confidence, and nested archives."""
+    """Opt-in (``enable_docx_dos``): the structure checks again, with lower confidence, and nested archives."""
     total = F.aggregate(parts, F.lit(0).cast("bigint"), lambda s, p: s + p["size"])
     packed = F.aggregate(parts, F.lit(0).cast("bigint"), lambda s, p: s + p["csize"])
-    m, t = "docx.dos", "T6_DOS"
+    m, t, limits = "dos_docx.fast", "T6_DOS", cfg.limits
+    name = lambda text: lambda p: finding(t, "MEDIUM", text[0], say(text[1], p["name"], "."), F.struct(p["name"].alias("filename")), m, text[2])
     return together(
-        when(F.size(parts) > cfg.limits.max_docx_parts, finding(t, "HIGH", "Too many parts", module=m, confidence=0.9)),
-        when(total > cfg.limits.max_total_uncompressed_mb * MB, finding(t, "HIGH", "Large uncompressed size", module=m, confidence=0.9)),
-        when(ratio(total, packed) > cfg.limits.max_expansion_ratio, finding(t, "HIGH", "High expansion", module=m, confidence=0.8)),
-        F.transform(F.filter(parts, lambda p: p["size"] > cfg.limits.max_single_part_mb * MB), lambda p: finding(t, "MEDIUM", "Large part", module=m, confidence=0.7)),
-        F.transform(F.filter(parts, lambda p: F.lower(p["name"]).rlike(r"\.(zip|docx|xlsx|pptx|jar)$")), lambda p: finding(t, "MEDIUM", "Nested archive", module=m, confidence=0.8)),
+        when(F.size(parts) > limits.max_docx_parts, finding(t, "HIGH", "Too many DOCX parts (Zip Bomb)", say("The file has ", F.size(parts), " parts."), module=m, confidence=0.9)),
+        when(total > limits.max_total_uncompressed_mb * MB, finding(t, "HIGH", "Total uncompressed size too large", say("The parts have ", total, " bytes."), module=m, confidence=0.9)),
+        when(ratio(total, packed) > limits.max_expansion_ratio, finding(t, "HIGH", "High Compression Ratio (Zip Bomb)", say("The parts grow by ", F.format_number(ratio(total, packed), 1), "."), module=m, confidence=0.8)),
+        F.transform(F.filter(parts, lambda p: p["size"] > limits.max_single_part_mb * MB), name(("Large individual XML part", "A part is too large: ", 0.7))),
+        F.transform(F.filter(parts, lambda p: F.lower(p["name"]).rlike(r"\.(zip|docx|xlsx|pptx|jar)$")), name(("Nested Archive Detected", "A part is an archive: ", 0.8))),
     )

@@ -1,12 +1,16 @@
-"""Text detectors: each takes columns of a parsed document and gives a column array<finding>; none shuffles, and only entropies leave the JVM.
+"""Text detectors: each takes columns of a parsed document and gives a column array<finding>; none shuffles, and only entropies,
+base64 runs and texts beyond ASCII that need normalising leave the JVM.
 
 A parsed document has text and typed metadata columns; see ``plans.pipeline.typed``. Null texts have no findings.
+Titles and modules are fixed values that readers of reports match on.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import unicodedata
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tamis.config import Config
-from tamis.functions.text import _entropy, count_chars, matches, strip_stealth
+from tamis.functions.text import count_chars, entropies_of, matches, strip_stealth
 from tamis.patterns import (
     BIDI,
     EICAR,
@@ -35,9 +39,9 @@ FINDING = "struct<threat_id:string,severity:string,title:string,explain:string,e
 NONE = f"array<{FINDING}>"
 
 
-def finding(threat: str, severity, title, evidence: Column | None = None, module: str = "", confidence: float = 1.0, explain: str = "") -> Column:
+def finding(threat: str, severity, title, explain, evidence: Column | None = None, module: str = "", confidence: float = 1.0) -> Column:
     col = lambda v: v if isinstance(v, Column) else F.lit(v)
-    values = [F.lit(threat), col(severity), col(title), F.lit(explain), F.to_json(evidence) if evidence is not None else F.lit(None), F.lit(None), F.lit(module), F.lit(confidence), F.lit(0.0)]
+    values = [F.lit(threat), col(severity), col(title), col(explain), F.to_json(evidence) if evidence is not None else F.lit(None), F.lit(None), F.lit(module), F.lit(confidence), F.lit(0.0)]
     return F.struct(*[v.alias(n) for v, n in zip(values, [x.split(":")[0] for x in FINDING[7:-1].split(",")])]).cast(FINDING)
 
 
@@ -58,38 +62,75 @@ def has(text: Column, pattern: str) -> Column:
     return F.coalesce(text.rlike("(?iU)" + pattern), F.lit(False))
 
 
+def literals(pattern: str) -> list[str]:
+    """Lower-case texts of which a match of the pattern holds at least one: its longest fixed part or group of alternatives."""
+    p = re.sub(r"\([^()]*\)\?|:\?|\\s\*|\[A-Z\]\+", "\0", pattern.replace(r"\b", ""))
+    parts = [x for x in re.split(r"(\([^()]*\))|\0", p) if x]
+    plain = [re.sub(r"\\(.)", r"\1", x) for x in parts]
+    # a group and what stands right after it belong together
+    options = [[a + (plain[k + 1] if k + 1 < len(plain) and plain[k + 1][0] != "(" else "") for a in x[1:-1].split("|")] if x[0] == "(" else [x] for k, x in enumerate(plain)]
+    return [x.lower() for x in max(options, key=lambda o: min(map(len, o)))]
+
+
+GATES = [literals(p) for _, p, _ in PROMPTS]
+
+
+def gate(lower: Column, k: int) -> Column:
+    """Whether a lower-cased text can match the k-th pattern at all."""
+    found = F.contains(lower, F.lit(GATES[k][0]))
+    for x in GATES[k][1:]:
+        found = found | F.contains(lower, F.lit(x))
+    return found
+
+
+MATCH = "array<struct<w:double,ord:int,category:string,match:string>>"
+
+
 def prompt_matches(text: Column) -> Column:
-    """array<struct<weight, ord, category, match>> of the patterns found, heaviest first."""
-    one = lambda k, c, p, w: F.when(has(text, p), F.struct(F.lit(-w).alias("w"), F.lit(k).alias("ord"), F.lit(c).alias("category"), F.substring(F.regexp_extract(text, "(?iU)" + p, 0), 1, 50).alias("match")))
-    return F.array_sort(F.array_compact(F.array(*[one(k, *x) for k, x in enumerate(PROMPTS)])))
+    """array<struct<w, ord, category, match>> of the patterns found, heaviest first (w: the weight, negative). Only patterns whose fixed part is in the text are tried."""
+
+    def tried(lower: Column) -> Column:
+        one = lambda k, c, p, w: F.when(gate(lower, k) & has(text, p), F.struct(F.lit(-w).alias("w"), F.lit(k).alias("ord"), F.lit(c).alias("category"), F.substring(F.regexp_extract(text, "(?iU)" + p, 0), 1, 50).alias("match")))
+        return F.array_sort(F.array_compact(F.array(*[one(k, *x) for k, x in enumerate(PROMPTS)])))
+
+    return let(F.lower(text), tried)
 
 
 def prompt_score(text: Column) -> Column:
-    return sum((F.when(has(text, p), w).otherwise(0.0) for _, p, w in PROMPTS), F.lit(0.0))
+    return F.coalesce(-F.aggregate(prompt_matches(text), F.lit(0.0), lambda s, m: s + m["w"]), F.lit(0.0))
 
 
 def prompt_severity(score: Column) -> Column:
     return F.when(score >= 6, "CRITICAL").when(score >= 2, "HIGH")
 
 
-ANY_PROMPT = "|".join(f"(?:{p})" for _, p, _ in PROMPTS)
+SIMILAR = 0.75  # a cosine above it to a signature adds SIMILAR_WEIGHT to the score
+SIMILAR_WEIGHT = 2.0
 
 
-def prompt_injection(text: Column, suffix: str = "") -> Column:
-    """Over a cleaned text. Scores of at least 2 are findings; the five heaviest matches are evidence.
-
-    One pass over all patterns rules most texts out before each pattern is tried on its own."""
+def prompt_injection(text: Column, suffix: str = "", similarity: Column | None = None) -> Column:
+    """Over a cleaned text. Scores of at least 2 are findings; the five heaviest matches are evidence. ``similarity``: the
+    highest cosine of the text's first and last 1000 characters to the signatures, by whatever encoder."""
 
     def scored(found: Column) -> Column:
-        top = F.transform(F.slice(found, 1, 5), lambda m: F.struct(m["category"].alias("category"), m["match"].alias("match"), (-m["w"]).alias("weight")))
+        if similarity is not None:
+            alike = F.array(F.struct(F.lit(-SIMILAR_WEIGHT).alias("w"), F.lit(len(PROMPTS)).alias("ord"), F.lit("semantic").alias("category"), F.format_string("Max similarity %.2f", similarity).alias("match")))
+            found = F.array_sort(F.concat(found, F.when(similarity > SIMILAR, alike.cast(MATCH)).otherwise(F.array().cast(MATCH))))
+
+        def judged(found: Column) -> Column:
+            top = F.transform(F.slice(found, 1, 5), lambda m: F.struct(m["category"].alias("category"), m["match"].alias("match"), (-m["w"]).alias("weight")))
+
+            def made(score: Column) -> Column:
+                shown = F.format_number(score, 1)
+                title = F.concat(F.lit("Prompt Injection Detected (Score: "), shown, F.lit(")" + suffix))
+                explain = F.concat(F.lit("Several indicators add up to "), shown, F.lit(", at least 2.0."))
+                return when(score >= 2, finding("T4_PROMPT_INJECTION", prompt_severity(score), title, explain, F.struct(score.alias("score"), F.size(found).alias("match_count"), top.alias("top_matches")), "detectors.prompt_injection_v2"))
 
-        def made(score: Column) -> Column:
-            title = F.concat(F.lit("Prompt Injection Detected (Score: "), F.format_number(score, 1), F.lit(")" + suffix))
-            return when(score >= 2, finding("T4_PROMPT_INJECTION", prompt_severity(score), title, F.struct(score.alias("score"), F.size(found).alias("match_count"), top.alias("top_matches")), "prompt_injection"))
+            return F.when(F.size(found) > 0, let(-F.aggregate(found, F.lit(0.0), lambda s, m: s + m["w"]), made)).otherwise(F.array().cast(NONE))
 
-        return let(-F.aggregate(found, F.lit(0.0), lambda s, m: s + m["w"]), made)
+        return let(found.cast(MATCH), judged)
 
-    return F.when(has(text, ANY_PROMPT), let(prompt_matches(text), scored)).otherwise(F.array().cast(NONE))
+    return F.coalesce(let(prompt_matches(text), scored), F.array().cast(NONE))
 
 
 def nfkc_all(texts: Column) -> Column:
@@ -119,11 +160,17 @@ def decoded(runs: Column) -> Column:
     return F.transform(run(runs), strip_stealth)
 
 
-def prompt_injection_all(text: Column, others: Column) -> Column:
-    """The body and each further text (comments, hidden text) on its own, and what their base64 runs decode to."""
-    every = F.filter(F.concat(F.array(text), F.coalesce(others, F.array().cast("array<string>"))), lambda t: F.coalesce(F.length(t) > 0, F.lit(False)))
-    clean = F.transform(nfkc_all(every), strip_stealth)
-    plain = F.flatten(F.transform(clean, lambda t: prompt_injection(t)))
+def prompt_injection_all(text: Column, others: Column, similarity: Column | None = None) -> Column:
+    """The body and each further text (comments, hidden text) on its own, and what their base64 runs decode to. Each is normalised (NFKC)
+    and without stealth characters. ``similarity`` is the body's."""
+    nothing = F.array().cast(NONE)
+    kept = lambda texts: F.filter(texts, lambda t: F.coalesce(F.length(t) > 0, F.lit(False)))
+    every = F.concat(F.array(F.coalesce(text, F.lit(""))), kept(F.coalesce(others, F.array().cast("array<string>"))))
+    wide = nfkc_all(F.transform(every, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), t)))  # only these go to a worker
+    clean = F.zip_with(every, wide, lambda t, n: strip_stealth(F.coalesce(n, t)))
+    alike = lambda t, k: F.when((k == 0) & (F.length(t) > 0), similarity)
+    scan = (lambda t, k: prompt_injection(t, similarity=alike(t, k))) if similarity is not None else (lambda t, k: prompt_injection(t))
+    plain = F.coalesce(F.flatten(F.transform(clean, scan)), nothing)
     runs = F.flatten(F.transform(clean, lambda t: F.regexp_extract_all(t, F.lit(r"(?:[A-Za-z0-9+/]{4}){20,}(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?"), F.lit(0))))
     inner = F.flatten(F.transform(F.filter(decoded(runs), lambda t: F.coalesce(F.length(t) > 10, F.lit(False))), lambda t: prompt_injection(t, " (Base64 Decoded)")))
     return F.concat(plain, inner)
@@ -152,7 +199,7 @@ def keyword_stuffing(text: Column) -> Column:
     def judged(tokens: Column) -> Column:
         def made(best: Column) -> Column:
             ratio = best["n"] / F.size(tokens)
-            return when(ratio > 0.08, finding("T5_RANKING_MANIPULATION", "MEDIUM", "Keyword stuffing suspected", F.struct(best["token"].alias("top_token"), best["n"].alias("freq"), ratio.alias("ratio")), "ranking"))
+            return when(ratio > 0.08, finding("T5_RANKING_MANIPULATION", "MEDIUM", "Possible keyword stuffing", "One word makes up an unusual share of the text.", F.struct(best["token"].alias("top_token"), best["n"].alias("freq"), ratio.alias("ratio")), "detectors.ranking_manipulation"))
 
         return F.when(F.size(tokens) >= 200, let(top_token(tokens), made)).otherwise(F.array().cast(NONE))
 
@@ -162,13 +209,19 @@ def keyword_stuffing(text: Column) -> Column:
 REPEATED = r"(?U)(\b\w+\s+)\1{10,}"
 
 
-def ats_manipulation(text: Column, hidden: Column, hidden_tags: Column) -> Column:
+def ats_manipulation(text: Column, hidden: Column, hidden_tags: Column, docx_hidden: Column | None = None) -> Column:
+    """``docx_hidden``: the hidden text that the analyser of the file found, besides that of the metadata."""
     joined = F.array_join(F.coalesce(hidden, F.array().cast("array<string>")), " ")
-    return together(
-        when(F.coalesce(text.rlike(REPEATED), F.lit(False)), finding("T9_ATS_MANIPULATION", "HIGH", "Repeated keyword sequence", module="ats", confidence=0.9)),
-        when(F.length(F.trim(joined)) > 0, finding("T9_ATS_MANIPULATION", "HIGH", "Hidden text in metadata", F.struct(F.length(joined).alias("length")), "ats", 0.95)),
-        when(F.coalesce(hidden_tags, F.lit(False)), finding("T9_ATS_MANIPULATION", "MEDIUM", "Hidden text tags", module="ats", confidence=0.9)),
-    )
+    t, m = "T9_ATS_MANIPULATION", "ats_manipulation"
+    parts = [
+        when(F.coalesce(text.rlike(REPEATED), F.lit(False)), finding(t, "HIGH", "Repeated Keywords Sequence", "One word stands more than ten times in a row.", module=m, confidence=0.9)),
+        when(F.length(F.trim(joined)) > 0, finding(t, "HIGH", "Hidden Text Detected", "The metadata hold text that is not shown.", F.struct(F.length(joined).alias("length")), m, 0.95)),
+        when(F.coalesce(hidden_tags, F.lit(False)), finding(t, "MEDIUM", "Hidden Text Tags Detected", "Runs are marked as not shown.", F.struct(F.lit("w:vanish").alias("tag")), m, 0.9)),
+    ]
+    if docx_hidden is not None:
+        n = F.length(F.array_join(docx_hidden, " "))
+        parts.append(when(F.coalesce(n > 0, F.lit(False)), finding(t, "MEDIUM", "Hidden Text Detected", "The document holds text that is marked as hidden.", F.struct(n.alias("length")), m, 0.9)))
+    return together(*parts)
 
 
 def base64_blocks(text: Column) -> Column:
@@ -176,11 +229,14 @@ def base64_blocks(text: Column) -> Column:
 
 
 def entropies(strings: Column) -> Column:
-    """array<double>: the Shannon entropy of each string of an array (an Arrow UDF: counting needs no sort there)."""
+    """array<double>: the Shannon entropy of each string of an array, counted for a whole batch at once."""
 
     @F.arrow_udf("array<double>")
     def run(batch: pa.Array) -> pa.Array:
-        return pa.array([[_entropy(np.frombuffer((s or "").encode("utf-32-le"), np.uint32)) for s in row or []] for row in batch.to_pylist()], pa.list_(pa.float64()))
+        flat = batch.flatten()
+        counts = pa.compute.list_value_length(batch).fill_null(0).to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(entropies_of(flat.to_pylist()), pa.float64()))
 
     return run(strings)
 
@@ -196,26 +252,26 @@ def embedded_payload(text: Column, hex_blobs: Column) -> Column:
     base64 = F.try_element_at(dense, F.lit(1))["b"]
     blob = F.try_element_at(F.filter(F.coalesce(hex_blobs, F.array().cast("array<string>")), lambda b: (F.length(b) > 1024) & ~F.upper(F.substring(b, 1, 8)).isin(OLE_HEX, PLACEHOLDER_HEX)), F.lit(1))
     run = F.try_element_at(hex_blocks(text), F.lit(1))
-    t = "T7_EMBEDDED_PAYLOAD"
-    size = lambda c: F.struct(F.length(c).alias("length"))
+    t, m = "T7_EMBEDDED_PAYLOAD", "embedded_payload"
+    size = lambda kind, c: F.struct(F.lit(kind).alias("type"), F.length(c).alias("length"))
     return together(
-        when(base64.isNotNull(), finding(t, "HIGH", "Large Base64 Block Detected", size(base64), "embedded_payload", 0.9)),
-        when(blob.isNotNull(), finding(t, "HIGH", "Large Hex Blob Detected in PDF", size(blob), "embedded_payload", 0.9)),
-        when(run.isNotNull(), finding(t, "HIGH", "Large Hex Blob Detected", size(run), "embedded_payload", 0.8)),
-        *[when(F.coalesce(text.rlike("(?iUd)" + p), F.lit(False)), finding(t, "CRITICAL", f"Suspicious Script/Command: {title}", module="embedded_payload", confidence=0.95)) for p, title in SCRIPTS],
+        when(base64.isNotNull(), finding(t, "HIGH", "Large Base64 Block Detected", "A dense base64 block of more than 1 KB may hide a payload.", size("base64", base64), m, 0.9)),
+        when(blob.isNotNull(), finding(t, "HIGH", "Large Hex Blob Detected in PDF", "The file holds a very long hexadecimal string.", size("hex_blob", blob), m, 0.9)),
+        when(run.isNotNull(), finding(t, "HIGH", "Large Hex Blob Detected", "The text holds a hexadecimal string of more than 256 bytes.", size("hex", run), m, 0.8)),
+        *[when(F.coalesce(text.rlike("(?iUd)" + p), F.lit(False)), finding(t, "CRITICAL", f"Suspicious Script/Command: {title}", f"A pattern of running scripts or commands: {title}.", module=m, confidence=0.95)) for p, title in SCRIPTS],
     )
 
 
 def metadata_injection(values: Column) -> Column:
     """Over all metadata values and comments."""
-    t = "T8_METADATA_INJECTION"
+    t, m = "T8_METADATA_INJECTION", "metadata_injection"
 
     def one(v: Column) -> Column:
         first = F.coalesce(*[F.when(has(v, p), F.lit(p)) for p in METADATA_PROMPTS])
         return together(
-            when(F.length(v) > 5000, finding(t, "HIGH", "Excessive Metadata/Comment Length", F.struct(F.length(v).alias("length"), F.substring(v, 1, 50).alias("snippet")), "metadata", 0.8)),
-            when(has(v, METADATA_SCRIPT), finding(t, "CRITICAL", "Script Injection in Metadata", F.struct(F.substring(v, 1, 100).alias("snippet")), "metadata")),
-            when(first.isNotNull(), finding(t, "HIGH", "Prompt Injection in Metadata", F.struct(F.substring(v, 1, 100).alias("snippet"), first.alias("pattern")), "metadata", 0.9)),
+            when(F.length(v) > 5000, finding(t, "HIGH", "Excessive Metadata/Comment Length", "A metadata field or comment is longer than 5000 characters.", F.struct(F.length(v).alias("length"), F.substring(v, 1, 50).alias("snippet")), m, 0.8)),
+            when(has(v, METADATA_SCRIPT), finding(t, "CRITICAL", "Script Injection in Metadata", "A metadata field or comment holds script tags or event handlers.", F.struct(F.substring(v, 1, 100).alias("snippet")), m)),
+            when(first.isNotNull(), finding(t, "HIGH", "Prompt Injection in Metadata", "A metadata field or comment holds instructions to a model.", F.struct(F.substring(v, 1, 100).alias("snippet"), first.alias("pattern")), m, 0.9)),
         )
 
     return F.flatten(F.transform(F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.coalesce(F.length(v) > 0, F.lit(False))), one))
@@ -224,8 +280,9 @@ def metadata_injection(values: Column) -> Column:
 def rules(text: Column, table: list[tuple[str, str]] | None = None) -> Column:
     """The antivirus test signature, or else each rule (name, pattern) that matches."""
     test = F.contains(text, F.lit(EICAR))
-    found = together(*[when(has(text, p), finding("T1_MALWARE", "CRITICAL", f"Rule matched: {name}", module="rules")) for name, p in table or []])
-    return F.when(test, F.array(finding("T1_MALWARE", "CRITICAL", "Antivirus test signature", module="rules"))).otherwise(F.coalesce(found, F.array().cast(NONE)))
+    found = together(*[when(has(text, p), finding("T1_MALWARE", "CRITICAL", f"YARA Rule Match (Text): {name}", f"The text matches the rule {name}.", F.struct(F.lit(name).alias("rule")), "yara.text")) for name, p in table or []])
+    signature = finding("T1_MALWARE", "CRITICAL", "Malware Signature Detected (EICAR)", "The text holds the test signature of antivirus programs.", F.struct(F.lit("EICAR-STANDARD-ANTIVIRUS-TEST-FILE").alias("signature")), "yara")
+    return F.when(test, F.array(signature)).otherwise(F.coalesce(found, F.array().cast(NONE)))
 
 
 def personal_counts(text: Column) -> Column:
@@ -241,14 +298,14 @@ def personal_severity(counts: Column) -> Column:
 
 
 def personal(text: Column) -> Column:
-    return let(personal_counts(text), lambda counts: when(F.size(counts) > 0, finding("T2_ACTIVE_CONTENT", personal_severity(counts), "Personal data detected", F.struct(counts.alias("matches")), "pii")))
+    return let(personal_counts(text), lambda counts: when(F.size(counts) > 0, finding("T2_ACTIVE_CONTENT", personal_severity(counts), "Personally Identifiable Information (PII) Detected", "The text holds what looks like personal data.", F.struct(counts.alias("matches")), "detectors.pii")))
 
 
 def hidden_text(hidden: Column, allow_watermarks: bool = True) -> Column:
     kept = F.array_distinct(F.filter(F.coalesce(hidden, F.array().cast("array<string>")), lambda h: F.coalesce(F.trim(h) != "", F.lit(False))))
     if allow_watermarks:
         kept = F.filter(kept, lambda h: ~h.rlike("(?i)" + "|".join(WATERMARKS)))
-    return F.transform(F.filter(kept, lambda h: F.length(h) > 50), lambda h: finding("T3_OBFUSCATION", "HIGH", "Hidden text", F.struct(F.length(h).alias("length")), "hidden_text", 0.9))
+    return F.transform(F.filter(kept, lambda h: F.length(h) > 50), lambda h: finding("T3_OBFUSCATION", "HIGH", "Hidden Text Detected", "A long text is marked as not shown.", F.struct(F.length(h).alias("length"), F.substring(h, 1, 100).alias("snippet")), "hidden_text", 0.9))
 
 
 def obfuscation_signals(text: Column, compression: Column | None = None, density: Column | None = None) -> Column:
@@ -267,43 +324,59 @@ def obfuscation_signals(text: Column, compression: Column | None = None, density
     )
 
 
-def obfuscation(text: Column, **more: Column) -> Column:
+def obfuscation(text: Column, encrypted: Column | None = None, **more: Column) -> Column:
+    """Two signals make a finding; the token of an encrypted file is one by itself and ends the check. Empty texts have none."""
     signals = obfuscation_signals(text, **more)
-    return when(F.size(signals) >= 2, finding("T3_OBFUSCATION", "HIGH", "Obfuscation Detected (Multi-Signal)", F.struct(signals.alias("signals")), "text_obfuscation"))
+    explain = lambda s: F.concat(F.lit("Signals of obfuscation: "), F.array_join(s, ", "), F.lit("."))
+    several = let(signals, lambda s: when(F.size(s) >= 2, finding("T3_OBFUSCATION", "HIGH", "Obfuscation Detected (Multi-Signal)", explain(s), F.struct(s.alias("signals"), F.size(s).alias("count")), "text_obfuscation")))
+    if encrypted is not None:
+        token = finding("T3_OBFUSCATION", "HIGH", "Found /Encrypt Token", "The file holds the token of encrypted files.", F.struct(F.lit("/Encrypt").alias("token")), "text_obfuscation")
+        several = F.when(F.coalesce(encrypted, F.lit(False)), F.array(token)).otherwise(several)
+    return F.when(F.length(text) > 0, several).otherwise(F.array().cast(NONE))
+
+
+def excessive_pages(pages: Column, cfg: Config) -> Column:
+    """Of the page count that a rich parser found."""
+    return when(F.coalesce(pages > cfg.limits.max_pages, F.lit(False)), finding("T6_DOS", "HIGH", "PDF has excessive page count", F.concat(F.lit("The parser found "), pages.cast("string"), F.lit(f" pages; the limit is {cfg.limits.max_pages}.")), F.struct(pages.alias("page_count"), F.lit(cfg.limits.max_pages).alias("limit")), "dos_pdf"))
 
 
 def mixed_scripts(text: Column) -> Column:
     """Words that mix Latin letters with Cyrillic or Greek ones."""
-    return F.array_distinct(matches(text, r"\b(?=\w*[A-Za-z])(?=\w*[Ͱ-ӿ])[\wͰ-ӿ]+"))
+    return F.array_distinct(F.filter(matches(text, r"[0-9A-Za-z_\x{370}-\x{4FF}]+"), lambda w: w.rlike("[A-Za-z]") & w.rlike(r"[\x{370}-\x{4FF}]")))
 
 
 def secrets(text: Column) -> Column:
     one = lambda p, kind: F.struct(F.lit(kind).alias("type"), F.size(matches(text, p)).alias("n"))
     counts = F.filter(F.array(*[one(p, kind) for p, kind in SECRETS]), lambda x: x["n"] > 0)
-    return when(F.size(counts) > 0, finding("T2_ACTIVE_CONTENT", "HIGH", "Secrets detected", F.struct(counts.alias("matches")), "secrets"))
+    return when(F.size(counts) > 0, finding("T2_ACTIVE_CONTENT", "HIGH", "Secrets Detected", "The text holds keys or tokens.", F.struct(counts.alias("matches")), "detectors.secrets"))
 
 
-def detect(config: Config, text: Column, meta: dict[str, Column]) -> Column:
-    """All enabled detectors over a document, in their fixed order. ``meta``: values, comments, hidden, hidden_tags, hex_blobs."""
+def detect(config: Config, text: Column, meta: dict[str, Column], table: list[tuple[str, str]] | None = None, own: Iterable[Callable] = ()) -> Column:
+    """All enabled detectors over a document, in their fixed order. ``meta``: values, comments (further texts for the instruction bank), hidden,
+    hidden_tags, hex_blobs and, where known, docx_hidden, pages, encrypted, compression, density, similarity. ``table``: rules as (name,
+    pattern). ``own``: further detectors, called with text, meta and config (``plugins.Detector``)."""
     parts = []
-    if config.enable_rules:
-        parts.append(rules(text))
-    if config.enable_prompt_injection:
-        parts.append(prompt_injection_all(text, meta["comments"]))
-    if config.enable_ranking_abuse:
-        parts.append(keyword_stuffing(text))
     if config.enable_embedded:
         parts.append(embedded_payload(text, meta["hex_blobs"]))
+    if config.enable_dos and "pages" in meta:
+        parts.append(excessive_pages(meta["pages"], config))
     if config.enable_metadata:
         parts.append(metadata_injection(meta["values"]))
     if config.enable_ats:
-        parts.append(ats_manipulation(text, meta["hidden"], meta["hidden_tags"]))
+        parts.append(ats_manipulation(text, meta["hidden"], meta["hidden_tags"], meta.get("docx_hidden")))
+    if config.enable_prompt_injection:
+        parts.append(prompt_injection_all(text, meta["comments"], meta.get("similarity")))
+    if config.enable_ranking_abuse:
+        parts.append(keyword_stuffing(text))
+    if config.enable_rules:
+        parts.append(rules(text, table))
     if config.enable_pii:
         parts.append(personal(text))
     if config.enable_hidden_text:
-        parts.append(hidden_text(meta["hidden"], config.allow_watermarks))
+        parts.append(hidden_text(F.concat(F.coalesce(meta["hidden"], F.array().cast("array<string>")), F.coalesce(meta["docx_hidden"], F.array().cast("array<string>"))) if "docx_hidden" in meta else meta["hidden"], config.allow_watermarks))
     if config.enable_obfuscation:
-        parts.append(obfuscation(text))
+        parts.append(obfuscation(text, **{k: meta[k] for k in ("encrypted", "compression", "density") if k in meta}))
     if config.enable_secrets:
         parts.append(secrets(text))
+    parts += [detector(text, meta, config).cast(NONE) for detector in own]
     return F.concat(*[F.coalesce(p, F.array().cast(NONE)) for p in parts]) if parts else F.array().cast(NONE)

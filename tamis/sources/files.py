@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.config import MB, Config
-from tamis.functions.text import latin1, matches
+from tamis.functions.text import matches
 from tamis.operators.bytescan import PART
+from tamis.operators.detectors import let
 
 MAX_PART = 10 * MB
 
@@ -37,14 +38,20 @@ def resolved_type(by_name: Column, by_magic: Column) -> Column:
     return F.when(by_magic != "unknown", by_magic).otherwise(by_name)
 
 
+def is_rejected(length: Column, cfg: Config) -> Column:
+    """More than twice the size limit: not even hashed."""
+    return length > 2 * cfg.limits.max_mb * MB
+
+
 def identified(files: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Adds file_type, sha256 and rejected (more than twice the size limit)."""
+    """Adds file_type, sha256 and rejected."""
     kind = resolved_type(extension_type(F.col("path")), magic_type(F.col("content")))
-    return files.withColumns({"file_type": kind, "sha256": F.sha2("content", 256), "rejected": F.col("length") > 2 * cfg.limits.max_mb * MB})
+    return files.withColumns({"file_type": kind, "sha256": F.sha2("content", 256), "rejected": is_rejected(F.col("length"), cfg)})
 
 
 # ---- PDF: literal strings, information fields and comments of the first bytes -----------------------------------
 
+BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 PDF_FIELDS = ["Title", "Author", "Subject", "Creator", "Producer", "Keywords"]
 
 
@@ -52,32 +59,32 @@ def _unescaped(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("\\("), F.lit("(")), F.lit("\\)"), F.lit(")")), F.lit("\\\\"), F.lit("\\"))
 
 
-def pdf_columns(content: Column, cfg: Config = Config()) -> dict[str, Column]:
-    """metadata, text, comments, hex_blobs, embedded_files."""
-    raw = latin1(F.substring(content, 1, cfg.limits.pdf_bytes_scan_mb * MB))
-    field = lambda f: _unescaped(F.nullif(F.regexp_extract(raw, rf"/{f}\s*\(((?:[^)\\]++|\\.)*+)\)", 1), F.lit("")))
-    info = F.array_compact(F.array(*[F.when(field(f).isNotNull(), F.struct(F.lit(f.lower()).alias("key"), field(f).alias("value"))) for f in PDF_FIELDS]))
-    tags = F.when(F.contains(raw, F.lit("<x:xmpmeta")), matches(raw, r"<dc:\w{1,40}>[^<]*+</dc:")).otherwise(F.array().cast("array<string>"))
-    xmp = F.transform(tags, lambda t: F.struct(F.lower(F.regexp_extract(t, r"<(dc:\w+)>", 1)).alias("key"), F.regexp_extract(t, r">([^<]*+)<", 1).alias("value")))
-    every = F.concat(info, xmp)
+def utf8(raw: Column) -> Column:
+    """Bytes that stand as characters of the same numbers, read as UTF-8; malformed ones are dropped. A replacement character that
+    the bytes hold themselves stays."""
+    marked = F.replace(raw, F.lit("\u00ef\u00bf\u00bd"), F.lit("\u00ef\u00a3\u00be"))  # U+FFFD as U+F8FE for the time being
+    valid = F.make_valid_utf8(F.encode(marked, "ISO-8859-1").cast("string"))
+    return F.when(raw.rlike(r"[\x80-\xFF]"), F.translate(valid, "\uf8fe\ufffd", "\ufffd")).otherwise(raw)
+
+
+def pdf_columns(raw: Column) -> dict[str, Column]:
+    """metadata, text, comments, hex_blobs, embedded_files of the first bytes as characters of the same numbers."""
+    field = lambda f: _unescaped(utf8(F.nullif(F.regexp_extract(raw, rf"/{f}\s*\(((?:[^)\\]++|\\.)*+)\)", 1), F.lit(""))))
+    pair = lambda f: let(field(f), lambda v: F.when(v.isNotNull(), F.struct(F.lit(f.lower()).alias("key"), v.alias("value"))))
+    info = F.array_compact(F.array(*[pair(f) for f in PDF_FIELDS]))
+    tags = F.when(F.contains(raw, F.lit("<x:xmpmeta")), matches(raw, r"<dc:[a-zA-Z]++>[^<]++</dc:")).otherwise(F.array().cast("array<string>"))
+    xmp = F.transform(tags, lambda t: F.struct(F.lower(F.regexp_extract(t, r"<dc:(\w+)>", 1)).alias("key"), utf8(F.regexp_extract(t, r">([^<]*+)<", 1)).alias("value")))
     # the last value of a key counts
-    last = F.filter(every, lambda e, k: ~F.exists(F.slice(every, k + 2, F.size(every)), lambda o: o["key"] == e["key"]))
-    metadata = F.map_from_entries(last)
-    values = F.map_values(metadata)
-    strings = F.transform(matches(raw, r"\((?:[^)\\]++|\\.)*+\)"), lambda s: _unescaped(F.substring(s, F.lit(2), F.length(s) - 2)))
-    text = F.array_join(F.filter(strings, lambda s: ~F.coalesce(F.array_contains(values, s), F.lit(False))), " ")
-    lines = F.transform(matches(raw, r"%[^\r\n]*"), lambda c: F.trim(F.substring(c, F.lit(2), F.length(c))))
+    metadata = let(F.concat(info, xmp), lambda every: F.map_from_entries(F.filter(every, lambda e, k: ~F.exists(F.slice(every, k + 2, F.size(every)), lambda o: o["key"] == e["key"]))))
+    strings = F.transform(matches(raw, r"\((?:[^)\\]++|\\.)*+\)"), lambda s: _unescaped(utf8(F.substring(s, F.lit(2), F.length(s) - 2))))
+    text = let(F.map_values(metadata), lambda values: F.array_join(F.filter(strings, lambda s: ~F.coalesce(F.array_contains(values, s), F.lit(False))), " "))
+    lines = F.transform(matches(raw, r"%[^\r\n]*"), lambda c: F.trim(utf8(F.substring(c, F.lit(2), F.length(c))), F.lit(BLANKS)))
     comments = F.filter(lines, lambda c: (F.length(c) >= 3) & ~c.startswith("PDF-") & (c != "EOF"))
-    blobs = F.filter(F.transform(matches(raw, r"<[0-9A-Fa-f\s]{100,}>"), lambda h: F.regexp_replace(h, r"[<>\s]", "")), lambda h: F.length(h) > 256)
-    names = F.when(F.contains(raw, F.lit("/EmbeddedFiles")) | F.contains(raw, F.lit("/Ef")), F.transform(matches(raw, r"/F\s*\([^)]*+\)"), lambda m: F.regexp_extract(m, r"\(([^)]*+)\)", 1))).otherwise(F.array().cast("array<string>"))
+    blobs = F.filter(F.transform(matches(raw, r"<[0-9A-Fa-f \t\n\r]{100,}>"), lambda h: F.regexp_replace(h, r"[<>\s]", "")), lambda h: F.length(h) > 256)
+    names = F.when(F.contains(raw, F.lit("/EmbeddedFiles")) | F.contains(raw, F.lit("/Ef")), F.transform(matches(raw, r"/F \([^)]++\)"), lambda m: utf8(F.regexp_extract(m, r"\(([^)]*+)\)", 1)))).otherwise(F.array().cast("array<string>"))
     return {"metadata": metadata, "text": text, "comments": comments, "hex_blobs": blobs, "embedded_files": names}
 
 
-def without_metadata(text: Column, metadata: Column) -> Column:
-    """The text with each metadata value of more than four characters taken out."""
-    return F.aggregate(F.filter(F.map_values(metadata), lambda v: F.length(v) > 4), text, lambda t, v: F.replace(t, v, F.lit("")))
-
-
 # ---- DOCX: parts and text of a zip, one file at a time ----------------------------------------------------------
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -115,8 +122,8 @@ def read_docx(content: bytes) -> dict:
             except Exception:
                 external = False
         out["parts"].append({"name": i.filename, "size": i.file_size, "csize": i.compress_size, "external": external})
-        lower = i.filename.lower()
-        if i.file_size < MB and (lower.endswith((".bin", ".exe")) or ("ole" in lower and ("embeddings" in lower or "media" in lower))):
+        inside = i.filename.startswith(("word/embeddings/", "word/media/"))
+        if i.file_size < MB and (i.filename.endswith((".bin", ".exe")) or (inside and "ole" in i.filename.lower())):
             try:
                 out["hex_blobs"].append(z.read(i)[:4096].hex())
             except Exception:
@@ -129,8 +136,8 @@ def read_docx(content: bytes) -> dict:
     if (root := _xml(z, "word/document.xml")) is not None:
         shown = []
         for run in root.iter(f"{W}r"):
-            text = "".join(t.text or "" for t in run.iter(f"{W}t"))
-            if run.find(f"{W}rPr/{W}vanish") is not None:
+            text = "".join(t.text or "" for t in run.findall(f"{W}t"))
+            if text and run.find(f"{W}rPr/{W}vanish") is not None:
                 out["hidden"].append(text)
             shown.append(text)
         out["text"] = " ".join(s for s in shown if s)
@@ -143,8 +150,8 @@ def read_docx(content: bytes) -> dict:
                 metadata[CORE[name]] = e.text
     if (root := _xml(z, "docProps/custom.xml")) is not None:
         for e in root:
-            if name := e.get("name"):
-                metadata[name.lower()] = "".join(e.itertext())
+            if (name := e.get("name")) and (value := "".join(e.itertext())):
+                metadata[name.lower()] = value
     out["metadata"] = list(metadata.items())
     for name in ("word/_rels/document.xml.rels", "_rels/.rels"):
         if (root := _xml(z, name)) is not None:
@@ -153,7 +160,7 @@ def read_docx(content: bytes) -> dict:
 
 
 def docx_column(content: Column) -> Column:
-    """Struct of all that is read from a zipped document, in one Arrow UDF."""
+    """Struct of all that is read from a zipped document, in one Arrow UDF; null for null."""
     text = pa.string()
     kind = pa.struct(
         [
@@ -165,6 +172,6 @@ def docx_column(content: Column) -> Column:
     @F.arrow_udf(DOCX)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([read_docx(b.as_py() or b"") for b in batch], kind)
+            yield pa.array([read_docx(b.as_py()) if b.is_valid else None for b in batch], kind)
 
     return run(content)
