@@ -28,7 +28,14 @@ def p2_found(spark, sf_dir):
 def p2_share(spark, sf_dir):
     from tamis.llm import repetition
 
-    return repetition.repetition(load(spark, sf_dir, "parsed_document")).select("parsed_id", "n_words", F.round("share", 6).alias("share"), F.round("score", 4).alias("score"))
+    return repetition.repetition(load(spark, sf_dir, "parsed_document")).select("parsed_id", "n_words", F.round("share", 6).alias("share"))
+
+
+def p2_score(spark, sf_dir):
+    """The trees' estimate of the share, beside the share."""
+    from tamis.llm import repetition
+
+    return repetition.repetition(load(spark, sf_dir, "parsed_document")).select("parsed_id", F.round("score", 4).alias("score"), F.round("share", 6).alias("share"))
 
 
 def p3_found(spark, sf_dir):
@@ -122,6 +129,18 @@ def queries() -> dict:
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[1 : f.__name__.index("_")]))}
 
 
+_PUNCTUATION = "'!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
+_WORDS = "SELECT parsed_id, list_filter(regexp_split_to_array(translate(lower(text), {}', ''), '[ \\t\\r\\n]+'), lambda w: w <> '') AS w FROM parsed_document WHERE text IS NOT NULL"
+_SHARE = f"""WITH x AS ({_WORDS.format(_PUNCTUATION + "0123456789")}), g AS (SELECT parsed_id, i, w[i : i + 5] AS g FROM (SELECT parsed_id, w, unnest(range(1, len(w) - 4)) AS i FROM x)),
+r AS (SELECT parsed_id, i FROM (SELECT parsed_id, i, row_number() OVER (PARTITION BY parsed_id, g ORDER BY i) AS k FROM g) WHERE k > 1),
+c AS (SELECT parsed_id, count(DISTINCT i + o.o) AS n FROM r, (SELECT unnest(range(6)) AS o) o GROUP BY 1)
+SELECT p.parsed_id, coalesce(len(x.w), 0)::INT AS n_words, coalesce(round(c.n / len(x.w), 6), 0.0)::DOUBLE AS share FROM (SELECT parsed_id FROM parsed_document) p LEFT JOIN x USING (parsed_id) LEFT JOIN c USING (parsed_id)"""
+
 ORACLE: dict[str, str] = {
+    "p2_share": _SHARE,
+    "p2_found": f"SELECT DISTINCT parsed_id FROM ({_SHARE}) WHERE n_words >= 30 AND share >= 0.4",
     "p4_found": "SELECT DISTINCT parsed_id FROM parsed_document WHERE length(text) > 4000",
+    "p5_found": f"""WITH x AS ({_WORDS.format(_PUNCTUATION)}), s AS (SELECT DISTINCT parsed_id, w[i : i + 2] AS g FROM (SELECT parsed_id, w, unnest(range(1, len(w) - 1)) AS i FROM x WHERE len(w) >= 20)),
+n AS (SELECT parsed_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT a.parsed_id AS a, b.parsed_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.parsed_id < b.parsed_id GROUP BY 1, 2)
+SELECT p.a AS parsed_id_a, p.b AS parsed_id_b FROM p JOIN n x ON p.a = x.parsed_id JOIN n y ON p.b = y.parsed_id WHERE c / (x.n + y.n - c) >= 0.6""",
 }

@@ -1,11 +1,13 @@
 """Problem 2: the share of a document's words that only repeat earlier ones.
 
-A word is repeated if it lies in six consecutive words that already began at an earlier word of the text. Spark
-cleans and splits the words; a worker codes the words of a batch by Arrow's dictionary and takes each document's
-statistics (repeated windows of six and of three words, distinct words, the commonest word, repeated lines, length)
-in numpy. Gradient-boosted trees, flattened into node arrays, score all documents of a batch at once. The trees are
-monotonic in chosen statistics, which makes the least score that a document of a given share can have computable
-from the trees: scores below it are passed over without loss, all others get the exact check of their word windows.
+A word is repeated if it lies in six consecutive words that already began at an earlier word of the text. A worker takes the
+words of a batch as hashes (``words.word_hashes``) and each document's statistics in numpy: repeated words, pairs and triples
+of words, the commonest word, the length; windows of six are not among them. Gradient-boosted trees, fitted on made-up
+documents and flattened into node arrays, score all documents of a batch at once; the score is an estimate of the share. The
+trees are monotonic in the repeated words, pairs and triples. Of the words that a share of s counts, each is a repeated
+word, and of six in a repeated window five begin a repeated pair and four a repeated triple; so the least score of documents with
+shares of s, 5/6 s and 4/6 s of these can be computed from the trees. Documents below it are passed over without loss; of all
+others the windows of six are compared.
 
 Results: null, empty and wordless texts have 0 words and share 0.0; texts under six words have share 0.0.
 """
@@ -16,82 +18,73 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW = 6
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-FEATURES = ["cover6", "windows3", "distinct", "commonest", "lines", "log_words"]
-#: +1: the score never falls as the statistic grows; -1: it never rises; 0: free.
-MONOTONIC = np.array([1, 1, -1, 1, 1, 0])
-
+from tamis.llm.words import word_hashes
 
-def words(text: Column, digits: bool = False) -> Column:
-    """Lower-cased words without ASCII punctuation (and, unless ``digits``, ASCII digits), split at blanks, tabs, CR and LF; [] for null."""
-    clean = F.translate(F.lower(text), PUNCTUATION + ("" if digits else "0123456789"), "")
-    return F.coalesce(F.array_remove(F.split(clean, "[ \t\r\n]+"), ""), F.array().cast("array<string>"))
+WINDOW = 6
+FEATURES = ["words1", "windows2", "windows3", "commonest", "log_words"]
+#: +1: the score never falls as the statistic grows; 0: free.
+MONOTONIC = np.array([1, 1, 1, 0, 0])
 
 
 # ---- statistics -----------------------------------------------------------------------------------------------
 
 
 def repeated_windows(codes: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
-    """Begins of the windows of ``width`` codes whose like began earlier in the same document."""
+    """Begins of the windows of ``width`` words whose like began earlier in the same document. Windows of one hash are compared word by word."""
     n = len(codes) - width + 1
     if n <= 0:
         return np.empty(0, np.int64)
-    mix = np.uint64(0x9E3779B97F4A7C15)
     key = doc[:n].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     with np.errstate(over="ignore"):
         for k in range(width):
-            key = (key ^ (codes[k : k + n].astype(np.uint64) + np.uint64(k + 1) * mix)) * np.uint64(0xBF58476D1CE4E5B9)
+            key = (key ^ (codes[k : k + n] + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
             key ^= key >> np.uint64(29)
     begins = np.flatnonzero(doc[:n] == doc[width - 1 :])
     key = key[begins]
     order = np.argsort(key, kind="stable")
-    again = np.zeros(len(begins), bool)
-    again[order[1:]] = key[order[1:]] == key[order[:-1]]
-    return begins[again]
+    x, y = begins[order[1:]], begins[order[:-1]]
+    same = (key[order[1:]] == key[order[:-1]]) & (doc[x] == doc[y])
+    for k in range(width):
+        same &= codes[x + k] == codes[y + k]
+    return np.sort(x[same])
 
 
 def covered(begins: np.ndarray, n: int, width: int) -> np.ndarray:
+    """Which of n places lie in a window that begins at one of ``begins``."""
     edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, begins, 1)
-    np.add.at(edge, begins + width, -1)
+    edge[:n] += np.bincount(begins, minlength=n)[:n]
+    edge -= np.bincount(begins + width, minlength=n + 1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def statistics(codes: np.ndarray, sizes: np.ndarray, line_share: np.ndarray) -> np.ndarray:
+def statistics(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """FEATURES of each document; ``codes``: the words of all documents one after the other."""
     m, n = len(sizes), len(codes)
     doc = np.repeat(np.arange(m), sizes)
     least = np.maximum(sizes, 1)
     out = np.zeros((m, len(FEATURES)))
-    out[:, 0] = np.bincount(doc[covered(repeated_windows(codes, doc, WINDOW), n, WINDOW)], minlength=m) / least
-    out[:, 1] = np.bincount(doc[repeated_windows(codes, doc, 3)], minlength=m) / least
     if n:
-        pair, times = np.unique(doc.astype(np.int64) << 32 | codes, return_counts=True)
-        out[:, 2] = np.bincount(pair >> 32, minlength=m) / least
-        np.maximum.at(out[:, 3], pair >> 32, times)
+        order = np.lexsort((codes, doc))
+        c, d = codes[order], doc[order]
+        first = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (d[1:] != d[:-1])]))
+        times, of = np.diff(np.concatenate([first, [n]])), d[first]
+        out[:, 0] = np.bincount(of, times - 1, minlength=m) / least
+        np.maximum.at(out[:, 3], of, times)
         out[:, 3] /= least
-    out[:, 4] = line_share
-    out[:, 5] = np.log1p(sizes)
+    for f, width in ((1, 2), (2, 3)):
+        out[:, f] = np.bincount(doc[repeated_windows(codes, doc, width)], minlength=m) / least
+    out[:, 4] = np.log1p(sizes)
     return out
 
 
-def exact_share(words_of_text: list[str]) -> float:
-    """The share by comparing the word windows themselves."""
-    n, seen, until, hit = len(words_of_text), set(), 0, 0
-    for k in range(n - WINDOW + 1):
-        window = tuple(words_of_text[k : k + WINDOW])
-        if window in seen:
-            hit += k + WINDOW - max(until, k)
-            until = k + WINDOW
-        else:
-            seen.add(window)
-    return hit / n if n else 0.0
+def shares(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The exact share of each document."""
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    return np.bincount(doc[covered(repeated_windows(codes, doc, WINDOW), len(codes), WINDOW)], minlength=len(sizes)) / np.maximum(sizes, 1)
 
 
 # ---- gradient-boosted trees -----------------------------------------------------------------------------------
@@ -115,8 +108,8 @@ class Trees:
             above = x[row, np.maximum(f, 0)] > self.cut[at]
             at = np.where(inner, np.where(above, self.right[at], self.left[at]), at)
 
-    def least_score(self, feature: int, at_least: float) -> float:
-        """A lower bound of the score of anything whose ``feature`` is ``at_least`` this: each tree's least leaf within reach."""
+    def least_score(self, at_least: dict[int, float]) -> float:
+        """A lower bound of the score of anything whose features are at least these: each tree's least leaf within reach."""
         total = self.base
         for root in self.roots:
             low, todo = np.inf, [root]
@@ -126,7 +119,7 @@ class Trees:
                     low = min(low, self.value[k])
                 else:
                     todo.append(self.right[k])
-                    if not (self.feature[k] == feature and at_least > self.cut[k]):
+                    if not at_least.get(int(self.feature[k]), -np.inf) > self.cut[k]:
                         todo.append(self.left[k])
             total += low
         return total
@@ -183,7 +176,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, monotonic: np.ndarray, rounds: int =
 def synthetic(n: int = 3000, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """Statistics and exact shares of made-up documents: random words into which runs of earlier words are copied."""
     rng = np.random.default_rng(seed)
-    texts, shares, lines = [], [], []
+    texts = []
     for _ in range(n):
         size, vocab = int(rng.integers(5, 500)), int(rng.integers(20, 2000))
         text = list(rng.zipf(1.4, size) % vocab) if rng.random() < 0.5 else list(rng.integers(0, vocab, size))
@@ -196,10 +189,9 @@ def synthetic(n: int = 3000, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
             text[put:put] = piece
             copied += len(piece)
         texts.append(text)
-        shares.append(exact_share([str(w) for w in text]))
-        lines.append(shares[-1] * rng.random())
     sizes = np.array([len(t) for t in texts])
-    return statistics(np.concatenate(texts).astype(np.int64), sizes, np.array(lines)), np.array(shares)
+    codes = np.concatenate(texts).astype(np.uint64)
+    return statistics(codes, sizes), shares(codes, sizes)
 
 
 @lru_cache(1)
@@ -208,45 +200,37 @@ def model() -> Trees:
     return fit_trees(*synthetic(), MONOTONIC)
 
 
-# ---- the operator ---------------------------------------------------------------------------------------------
+def bound(trees: Trees, limit: float) -> float:
+    """The least score that a document with this share can have."""
+    return trees.least_score({k: limit * (WINDOW - k) / WINDOW for k in range(3)}) - 1e-9
 
 
-def repeated_lines(text: Column) -> Column:
-    """Share of the non-blank lines that are equal to an earlier one."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[\r\n]+"), F.trim), lambda x: x != "")
-    return F.when(F.size(lines) > 0, 1 - F.size(F.array_distinct(lines)) / F.size(lines)).otherwise(F.lit(0.0))
+# ---- the operator ---------------------------------------------------------------------------------------------
 
 
 def _scorer(trees: Trees, limit: float | None):
-    """Arrow UDF: words, share of repeated lines -> struct of word count, exact share (null where the score rules ``limit`` out) and score."""
-    bound = -np.inf if limit is None else trees.least_score(0, limit) - 1e-9
-
-    @F.arrow_udf("struct<n_words: int, share: double, score: double, distinct_share: double, commonest_share: double>")
-    def score(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for words_of, lines in batches:
-            sizes = np.asarray(pa.compute.list_value_length(words_of).fill_null(0)).astype(np.int64)
-            coded = words_of.flatten().dictionary_encode()
-            codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) if len(coded) else np.empty(0, np.int64)
-            x = statistics(codes, sizes, np.asarray(lines))
-            got = trees.score(x)
-            share = np.full(len(sizes), np.nan)
-            ends = np.cumsum(sizes)
-            # an exact check of the windows themselves; hashed windows without any repeat have share 0 for certain
-            for k in np.flatnonzero(got >= bound):
-                share[k] = exact_share(codes[ends[k] - sizes[k] : ends[k]].tolist()) if x[k, 0] else 0.0
-            yield pa.StructArray.from_arrays(
-                [pa.array(sizes.astype(np.int32)), pa.array(share, mask=np.isnan(share)), pa.array(got), pa.array(x[:, 2]), pa.array(x[:, 3])],
-                ["n_words", "share", "score", "distinct_share", "commonest_share"],
-            )
+    """Arrow UDF: text -> struct of word count, exact share (null where the score rules ``limit`` out) and score."""
+    least = -np.inf if limit is None else bound(trees, limit)
+
+    @F.arrow_udf("struct<n_words: int, share: double, score: double>")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = []
+            for _, codes, sizes in word_hashes(texts):
+                got = trees.score(statistics(codes, sizes))
+                share = np.full(len(sizes), np.nan)
+                chosen = got >= least
+                share[chosen] = shares(codes[np.repeat(chosen, sizes)], sizes[chosen])
+                parts.append((sizes, share, got))
+            sizes, share, got = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0),) * 3
+            yield pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(share, pa.float64(), mask=np.isnan(share)), pa.array(got, pa.float64())], ["n_words", "share", "score"])
 
     return score
 
 
 def repetition(df: DataFrame, key: str = "parsed_id", text: str = "text", limit: float | None = None) -> DataFrame:
-    """``key``, n_words, share, score, distinct_share, commonest_share of each document. With ``limit``, share is null where the trees rule it out that
-    the share reaches ``limit``."""
-    scored = df.select(F.col(key), _scorer(model(), limit)(words(F.col(text)), repeated_lines(F.col(text))).alias("r"))
-    return scored.select(key, "r.*")
+    """``key``, n_words, share, score of each document. With ``limit``, share is null where the trees rule it out that the share reaches ``limit``."""
+    return df.select(F.col(key), _scorer(model(), limit)(F.col(text)).alias("r")).select(key, "r.*")
 
 
 def found(df: DataFrame, least_words: int = 30, least_share: float = 0.4) -> DataFrame:

@@ -59,16 +59,19 @@ def test_repetition(spark):
     assert repetition.found(df.limit(0)).count() == 0
 
 
-def test_trees_are_monotonic():
-    x, _ = repetition.synthetic(300, 5)
+def test_trees_are_monotonic_and_the_gate_loses_nothing():
+    x, y = repetition.synthetic(600, 5)  # other documents than those of the fit
     trees = repetition.model()
     for f, sign in enumerate(repetition.MONOTONIC):
         if sign:
             more = x.copy()
             more[:, f] += 0.2
             assert ((trees.score(more) - trees.score(x)) * sign >= -1e-9).all()
-    high = x[x[:, 0] >= 0.4]
-    assert (trees.score(high) >= trees.least_score(0, 0.4) - 1e-9).all()
+    got = trees.score(x)
+    for limit in (0.1, 0.4, 0.7):
+        high = y >= limit
+        assert all((x[high][:, k] >= limit * (6 - k) / 6 - 1e-9).all() for k in range(3)) and (got[high] >= repetition.bound(trees, limit)).all()
+    assert abs(got - y).mean() < 0.06
 
 
 @pytest.mark.parametrize("size", [4000, 4001, 9000, 30_000])
