@@ -208,7 +208,7 @@ def test_mojibake():
                 r = mojibake.repair(g)
                 hit += r is not None
                 exact += bool(r) and r[0] == t
-    assert hit / n > 0.85 and exact / n > 0.5
+    assert hit / n > 0.9 and exact / n > 0.8
     assert mojibake.repair("compt� 3") == (None, ["lossy"], False)
 
 
@@ -238,6 +238,28 @@ def test_mojibake_of_letters_that_look_clean(right, chain):
     assert mojibake.repair(garbled) == (right, [mojibake.name(chain)], True)
 
 
+def test_mojibake_with_a_sample_of_the_input(spark):
+    sample = [f"Notes on Tyra{k} – {k}" for k in range(20)] + [f"It cost €{k}, ½ of the applicants’ letters" for k in range(20)] + [f"Budget {k} (€)" for k in range(20)] + ["Los álbumes y los exámenes", "Los álbumes de los señores"] * 2 + ["ключи и заявки", "заявки, ключи"]
+    model = mojibake.learn(sample)
+    try:
+        mojibake.install(model)
+        assert not any(mojibake.repair(t) for t in [*sample, "½ – €7", "Θ-Modul √2", "plain – text"])
+        hit = exact = n = 0
+        for right in ("Notes on Lonu – 33", "It cost €958 because", "Los álbumes nuevos", "Budget (€)"):
+            for chain in mojibake.CHAINS:
+                wrong = mojibake.garble(right, chain)
+                if wrong and wrong != right and chain[0] != "cp1251":
+                    r = mojibake.repair(wrong)
+                    n, hit, exact = n + 1, hit + (r is not None), exact + (bool(r) and r[0] == right)
+        assert n > 60 and hit / n > 0.9 and exact / n > 0.9
+    finally:
+        mojibake.install(None)
+    rows = [(k, t, {"title": "Notes on Lonu û 33" if k == 3 else "plain"}) for k, t in enumerate(sample)] + [(99, None, None), (100, "", {})]
+    df = spark.createDataFrame(rows, "parsed_id long, text string, metadata map<string,string>")
+    assert [tuple(r) for r in mojibake.found(df).collect()] == [(3, "metadata.title")]
+    assert mojibake.found(df.limit(0)).count() == 0
+
+
 def test_personal_data(spark):
     names = spark.createDataFrame([("Zudra", "given"), ("Sorin", "given"), ("Lindoford", "family"), ("Quimquist", "family"), (None, None)], "name string, kind string")
     text = "Dr. Zudra Lindoford, x@y.example or z (at) w [dot] test, call (402) 555-0105, ID 666-72-9566, 12 Oak Lane; Quimquist, Sorin. The Lindoford index. Lindoford & Sons"
