@@ -23,6 +23,7 @@ from tamis.functions.session import cut
 from tamis.llm.bpe import token_count
 
 BLOCK_TOKENS = 100_000  # tokens of a block on average; only the block at the border of a budget is ever sorted
+SUPER_BLOCKS = 4096  # ranges of block keys in which a source's blocks are summed up before the border is looked for
 MAX_SOURCES = 100_000  # rows of the target table that the driver may hold
 
 
@@ -99,15 +100,24 @@ def block_key(seed: int):
     return F.xxhash64(F.lit(seed), "source", "_block")
 
 
+def border_blocks(sums: DataFrame) -> DataFrame:
+    """source, _border (the key of the block in which the running sum of blocks in order of their keys reaches ``_rest``), _left (what of it
+    fits). The running sum is taken over SUPER_BLOCKS ranges of keys first and then inside one of them, so no task sees all blocks of a source."""
+    upto = lambda n, by: F.sum(n).over(Window.partitionBy("source").orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+    reached = "_end >= _rest and _end - _sum < _rest"
+    of = sums.withColumn("_super", F.shiftright("_key", 64 - (SUPER_BLOCKS - 1).bit_length()))
+    supers = of.groupBy("source", "_rest", "_super").agg(F.sum("_sum").alias("_sum")).withColumn("_end", upto("_sum", "_super"))
+    inside = of.drop("_rest").join(supers.where(reached).select("source", "_super", (F.col("_rest") - F.col("_end") + F.col("_sum")).alias("_rest")), ["source", "_super"])
+    return inside.withColumn("_end", upto("_sum", "_key")).where(reached).select("source", F.col("_key").alias("_border"), (F.col("_rest") - F.col("_end") + F.col("_sum")).alias("_left"))
+
+
 def realise(counts: DataFrame, planned: list[dict], seed: int = 7, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """The collection: doc_id, source, copy_no (from 1), n_tokens, order_key (a keyed hash that mixes the sources when sorted by)."""
     spark = counts.sparkSession
     rows = [(p["source"], p["budget"] // p["tokens"], p["budget"] % p["tokens"], max(1, -(-p["tokens"] // block_tokens))) for p in planned if p["tokens"] and p["budget"]]
     plans = spark.createDataFrame(rows, "source string, _passes bigint, _rest bigint, _blocks bigint").coalesce(1)
     blocked = counts.join(plans, "source").withColumn("_block", F.pmod(F.xxhash64("doc_id"), "_blocks")).withColumn("_key", block_key(seed))
-    sums = blocked.where("_rest > 0").groupBy("source", "_rest", "_key").agg(F.sum("n_tokens").alias("_sum"))
-    upto = F.sum("_sum").over(Window.partitionBy("source").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0))
-    border = sums.withColumn("_end", upto).where("_end >= _rest and _end - _sum < _rest").select("source", F.col("_key").alias("_border"), (F.col("_rest") - F.col("_end") + F.col("_sum")).alias("_left"))
+    border = cut(border_blocks(blocked.where("_rest > 0").groupBy("source", "_rest", "_key").agg(F.sum("n_tokens").alias("_sum"))))
     # the documents of one block a source: in keyed order while they fit, then the largest one that still does
     inside = blocked.join(border, "source").where("_key = _border")
     order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)

@@ -38,6 +38,19 @@ def test_mixing(spark):
     assert mixing.tempered([0.9, 0.1], x)[1] * 1000 <= 200.001 and x < 1
 
 
+def test_border_of_many_blocks(spark):
+    rng = random.Random(9)
+    rows = [(src, 5000 + k, rng.randint(-(2**63), 2**63 - 1), rng.randint(1, 9)) for k, src in enumerate("ab") for _ in range(3000)]
+    got = {r["source"]: (r["_border"], r["_left"]) for r in mixing.border_blocks(spark.createDataFrame(rows, "source string, _rest bigint, _key bigint, _sum bigint")).collect()}
+    for k, src in enumerate("ab"):
+        left = 5000 + k
+        for _, _, key, n in sorted((r for r in rows if r[0] == src), key=lambda r: r[2]):
+            if n >= left:
+                break
+            left -= n
+        assert got[src] == (key, left)
+
+
 def brute_share(w):
     seen, cover = set(), [0] * len(w)
     for k in range(len(w) - 5):
