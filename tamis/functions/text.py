@@ -70,8 +70,3 @@ def entropies_of(strings: list[str | None]) -> np.ndarray:
     of = keys >> 21
     p = counts / sizes[of]
     return np.bincount(of, -p * np.log2(p), minlength=len(strings)) + 0.0
-
-
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))

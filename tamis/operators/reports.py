@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.functions.text import cosine
-
 
 def clean_verdict(v: Column) -> Column:
     return F.upper(F.trim(v))
@@ -43,12 +45,45 @@ def reputation(df: DataFrame, known: DataFrame, key: str = "sha256") -> DataFram
     return df.join(listed, key, "left").withColumn("infected", F.coalesce("_listed", F.lit(False))).drop("_listed")
 
 
+BLOCK = 1024  # vectors of a block
+BLOCKS = "ids binary, vectors binary"
+
+
+def blocks(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """Vectors of length 1, as matrices of up to BLOCK rows, with their ids; packed where they are, without a shuffle. Null and zero vectors are left out."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            width = len(batch.column(1)[0])
+            ids, flat = np.asarray(batch.column(0)).astype(np.int64), np.asarray(batch.column(1).flatten()).astype(np.float64)
+            v = flat.reshape(len(ids), width)
+            size = np.sqrt((v * v).sum(1))
+            ids, v = ids[size > 0], v[size > 0] / size[size > 0, None]
+            for at in range(0, len(ids), BLOCK):
+                yield pa.RecordBatch.from_arrays([pa.array([ids[at : at + BLOCK].tobytes()], pa.binary()), pa.array([v[at : at + BLOCK].tobytes()], pa.binary())], ["ids", "vectors"])
+
+    whole = df.select(F.col(key).cast("bigint").alias("k"), F.col(vector).cast("array<double>").alias("v")).where(F.col("k").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull()))
+    return whole.mapInArrow(pack, BLOCKS)
+
+
+def _best(ids: pa.Array, vectors: pa.Array, q_ids: pa.Array, q_vectors: pa.Array) -> pa.Array:
+    """For each pair of blocks, each query's highest cosine to another row of the block."""
+    out = []
+    for a, x, b, y in zip(ids, vectors, q_ids, q_vectors):
+        a, b = np.frombuffer(a.as_buffer(), np.int64), np.frombuffer(b.as_buffer(), np.int64)
+        sim = np.frombuffer(y.as_buffer()).reshape(len(b), -1) @ np.frombuffer(x.as_buffer()).reshape(len(a), -1).T
+        sim[b[:, None] == a[None, :]] = -np.inf
+        most = sim.max(1)
+        out.append([{"q": int(q), "sim": float(s)} for q, s in zip(b, most) if s > -np.inf])
+    return pa.array(out, pa.list_(pa.struct([("q", pa.int64()), ("sim", pa.float64())])))
+
+
 def most_similar(queries: DataFrame, rows: DataFrame, key: str, vector: str, limit: float = 0.75) -> DataFrame:
-    """For each of a stated set of queries, the most similar other row by cosine, and whether it is above ``limit``.
-
-    The queries are joined to blocks of rows (by a broadcast only if Spark's size check allows it); each block keeps its best, so
-    what is shuffled is one row a query and block."""
-    q = queries.select(F.col(key).alias("q"), F.col(vector).alias("qv"))
-    pairs = rows.join(q, F.col(key) != F.col("q"))
-    best = pairs.groupBy("q").agg(F.max(cosine(F.col(vector), F.col("qv"))).alias("max_sim"))
-    return best.select(F.col("q").alias(key), "max_sim", (F.col("max_sim") > limit).alias("hit"))
+    """For each of a stated set of queries (bigint ``key``), the highest cosine to another row, and whether it is above ``limit``.
+
+    Blocks of queries meet blocks of rows (by a broadcast only if Spark's size check allows it), each pair by one product of
+    matrices; a pair of blocks keeps one value a query, and only these are shuffled. All vectors have one length."""
+    q = blocks(queries, key, vector).withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors"})
+    pairs = blocks(rows, key, vector).crossJoin(q)
+    best = pairs.select(F.explode(F.arrow_udf(_best, "array<struct<q: bigint, sim: double>>")("ids", "vectors", "q_ids", "q_vectors")).alias("b"))
+    return best.groupBy(F.col("b.q").alias(key)).agg(F.max("b.sim").alias("max_sim")).select(key, "max_sim", (F.col("max_sim") > limit).alias("hit"))

@@ -282,6 +282,14 @@ def test_nested_levels_and_child_tables(spark):
     assert nested.child_tables(df.limit(0), "v", ["id"]) == {}
 
 
+def test_most_similar(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0, 1.0]), (5, [0.0, 0.0]), (6, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {r["id"]: (round(r["max_sim"], 6), r["hit"]) for r in reports.most_similar(df.where("id in (1, 3, 5, 6)"), df, "id", "v").collect()}
+    assert got == {1: (1.0, True), 3: (0.707107, False)}
+    assert reports.most_similar(df.limit(0), df, "id", "v").count() == 0
+
+
 def test_reports_and_plugins(spark):
     r = spark.createDataFrame([("a", "BLOCK"), ("a", "ALLOW"), ("b", "ALLOW"), ("c", "FLAG")], "file_path string, verdict string")
     m = spark.createDataFrame([("a", "block", 1), ("b", "FLAG", 1), ("c", " allow", 2), ("c", "BLOCK", 1), ("d", None, 1)], "file_path string, expected_verdict string, labelled_at long")
