@@ -11,9 +11,10 @@ than others is cut into lots of sets, and each pair of lots is a task of its own
 
 Pairs with enough such tokens are candidates. Each set is first compared with its leader, the least set that it is a
 candidate pair with. The answers of two sets with one leader are then derived from what they share with it: with
-r = leader, they share at least |a & r| + |b & r| - |r| tokens and at most min(|a & r|, |b & r|) + min(|a - r|, |b - r|), which settles most pairs of
-very similar sets without their tokens; only the others are compared themselves. So a group of k similar sets takes
-about k comparisons, not k * k. Nothing is capped: a long list only means more work in its tasks.
+r = leader, they share at least |a & r| + |b & r| - |r| tokens and at most min(|a & r|, |b & r|) + min(|a - r|, |b - r|), which settles many pairs without
+any token. Of other pairs of sets that are similar to their leader, the answer follows from the differences to it alone:
+|a & b| = |r| - |r - a| - |r - b| + |(r - a) & (r - b)| + |(a - r) & (b - r)|. Only pairs without a common similar leader are
+compared themselves. So a group of k similar sets takes about k comparisons of whole sets, not k * k. Nothing is capped: a long list only means more work in its tasks.
 
 Tokens are 40-bit hashes (a clash inside a pair of n-token sets has probability n * n / 2**40), the digest of a set has 128 bits.
 Texts with fewer than ``least_words`` words and null texts have no set and no partners.
@@ -305,23 +306,55 @@ def _counter(shared: float):
     return count
 
 
-def overlap(left: pa.Array, right: pa.Array) -> pa.Array:
-    """Tokens that the sets of two columns share."""
+def _marked(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and token of all tokens of two columns, sorted, and whether the next one is the same."""
     (x, nx), (y, ny) = _flat(left), _flat(right)
     both = np.concatenate([np.repeat(np.arange(len(nx)), nx).astype(np.uint64) << np.uint64(40) | x, np.repeat(np.arange(len(ny)), ny).astype(np.uint64) << np.uint64(40) | y])
     both.sort()
-    shared = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(40)).astype(np.int64), minlength=len(nx))
-    return pa.array(shared.astype(np.int32))
+    return both, np.concatenate([both[1:] == both[:-1], [False]]) if len(both) else np.zeros(0, bool)
+
+
+def overlap(left: pa.Array, right: pa.Array) -> pa.Array:
+    """Tokens that the sets of two columns share; null sets share none."""
+    both, twice = _marked(left, right)
+    return pa.array(np.bincount((both[twice] >> np.uint64(40)).astype(np.int64), minlength=len(left)).astype(np.int32))
+
+
+DIFFERENCES = "struct<n: int, less: binary, more: binary>"
+
+
+def _compare(t: float):
+    """Arrow function over a leader's and another's tokens: what they share, and, if they reach the threshold, what the other has less and more."""
+
+    def run(leader: pa.Array, other: pa.Array) -> pa.Array:
+        m = len(leader)
+        row = lambda v: (v >> np.uint64(40)).astype(np.int64)
+        (x, nx), (y, ny) = _flat(leader), _flat(other)
+        one = np.repeat(np.arange(m), nx).astype(np.uint64) << np.uint64(40) | x
+        two = np.repeat(np.arange(m), ny).astype(np.uint64) << np.uint64(40) | y
+        both, twice = _marked(leader, other)
+        shared = both[twice]
+        n = np.bincount(row(shared), minlength=m)
+        near = n >= t * (nx + ny - n) - 1e-9
+        out = []
+        for own in (one, two):
+            rest = np.sort(own[~np.isin(own, shared)])
+            packed, ends = _pack(rest & np.uint64((1 << 40) - 1)), np.cumsum(np.bincount(row(rest), minlength=m)) * TOKEN_BYTES
+            starts = np.concatenate([[0], ends[:-1]])
+            out.append(pa.array([packed[a:b] if ok else None for a, b, ok in zip(starts.tolist(), ends.tolist(), near.tolist())], pa.binary()))
+        return pa.StructArray.from_arrays([pa.array(n.astype(np.int32)), *out], ["n", "less", "more"])
+
+    return run
 
 
 def derived(candidates: DataFrame, star: DataFrame, t: float) -> DataFrame:
-    """a, b, na, nb, low, high of the candidates outside ``star`` (b, r, n_b, n_r, with_r): bounds of what a and b share, from their leader; null without one."""
+    """a, b, n_a, n_b, n_r, low, high of the candidates outside ``star`` (b, r, n_b, n_r, with_r): bounds of what a and b share, from their leader; null without one."""
     of_b = candidates.join(star, "b").where("a <> r")
     of_a = star.select(F.col("b").alias("a"), F.col("r").alias("r_a"), F.col("n_b").alias("n_a"), F.col("with_r").alias("a_with_r"))
-    both = of_b.join(of_a, "a", "left").withColumn("_one", F.col("r") == F.col("r_a"))
+    both = of_b.join(of_a, "a", "left").withColumn("_one", F.coalesce(F.col("r") == F.col("r_a"), F.lit(False)))
     low = F.col("a_with_r") + F.col("with_r") - F.col("n_r")
     high = F.least("a_with_r", "with_r") + F.least(F.col("n_a") - F.col("a_with_r"), F.col("n_b") - F.col("with_r"))
-    return both.select("a", "b", F.when(F.col("_one"), F.col("n_a")).alias("n_a"), "n_b", F.when(F.col("_one"), low).alias("low"), F.when(F.col("_one"), high).alias("high"))
+    return both.select("a", "b", F.when(F.col("_one"), F.col("n_a")).alias("n_a"), "n_b", "n_r", F.when(F.col("_one"), low).alias("low"), F.when(F.col("_one"), high).alias("high"))
 
 
 class NearDuplicates:
@@ -349,25 +382,34 @@ class NearDuplicates:
         self.candidates = cut(pairs.groupBy("part").applyInArrow(_counter(shared), "a bigint, b bigint"))
         own = kept.select("id", "size", "tokens")
         x, y = own.withColumnsRenamed({"id": "a", "size": "n_a", "tokens": "x"}), own.withColumnsRenamed({"id": "b", "size": "n_b", "tokens": "y"})
-        compared = lambda rows: rows.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", F.arrow_udf(overlap, "int")("x", "y").alias("n"))
+        pairs_of = lambda rows: rows.join(x, "a").join(y, "b")
         leaders = self.candidates.groupBy("b").agg(F.min("a").alias("a"))
-        first = cut(compared(leaders))
+        first = cut(pairs_of(leaders).select("a", "b", "n_a", "n_b", F.arrow_udf(_compare(t), DIFFERENCES)("x", "y").alias("d")).select("a", "b", "n_a", "n_b", "d.*"))
         star = first.select("b", F.col("a").alias("r"), "n_b", F.col("n_a").alias("n_r"), F.col("n").alias("with_r"))
         share = lambda n: n / (F.col("n_a") + F.col("n_b") - n)
         reaches = lambda n: share(n) >= t - 1e-12
-        self.derived = cut(derived(self.candidates, star, t))
         settled = F.coalesce(reaches(F.col("low")) | ~reaches(F.col("high")), F.lit(False))
-        by_leader = self.derived.where(settled & reaches(F.col("low"))).select("a", "b", share(F.col("low")).alias("jaccard"), F.lit(True).alias("derived"))
-        rest = compared(self.derived.where(~settled).select("a", "b"))
-        exact = first.unionByName(rest).where(reaches(F.col("n"))).select("a", "b", share(F.col("n")).alias("jaccard"), F.lit(False).alias("derived"))
-        self.links = cut(exact.unionByName(by_leader))
+        of_a, of_b = first.where("less is not null").select(F.col("b").alias("a"), F.col("less").alias("less_a"), F.col("more").alias("more_a")), first.where("less is not null").select("b", F.col("less").alias("less_b"), F.col("more").alias("more_b"))
+        bounded = derived(self.candidates, star, t).withColumn("settled", settled)
+        self.derived = cut(bounded.join(first.where("less is not null").select("b", F.lit(True).alias("_near_b")), "b", "left").join(first.where("less is not null").select(F.col("b").alias("a"), F.lit(True).alias("_near_a")), "a", "left")
+            .select("a", "b", "n_a", "n_b", "n_r", "low", "settled", (F.col("low").isNotNull() & F.col("_near_a").isNotNull() & F.col("_near_b").isNotNull()).alias("near")))
+        by_bounds = self.derived.where(F.col("settled") & reaches(F.col("low"))).select("a", "b", share(F.col("low")).alias("jaccard"), F.lit(True).alias("derived"))
+        apart = self.derived.where("near and not settled").join(of_a, "a").join(of_b, "b")
+        both = F.arrow_udf(overlap, "int")("less_a", "less_b") + F.arrow_udf(overlap, "int")("more_a", "more_b")
+        gone = F.length("less_a") + F.length("less_b")
+        by_differences = apart.select("a", "b", "n_a", "n_b", (F.col("n_r") - gone / TOKEN_BYTES + both).alias("n"))
+        rest = pairs_of(self.derived.where("not near and not settled").select("a", "b")).select("a", "b", "n_a", "n_b", F.arrow_udf(overlap, "int")("x", "y").alias("n"))
+        exact = first.select("a", "b", "n_a", "n_b", "n").unionByName(rest).where(reaches(F.col("n"))).select("a", "b", share(F.col("n")).alias("jaccard"), F.lit(False).alias("derived"))
+        apart_links = by_differences.where(reaches(F.col("n"))).select("a", "b", share(F.col("n")).alias("jaccard"), F.lit(True).alias("derived"))
+        self.links = cut(exact.unionByName(by_bounds).unionByName(apart_links))
         kept.unpersist()
 
     def saved(self) -> DataFrame:
-        """n_candidates; n_bounded: those whose two sets have one leader, besides the pairs with a leader; n_derived: those of them that became links without a comparison."""
-        every = [self.candidates.select(F.lit("c").alias("k")), self.derived.where("low is not null").select(F.lit("b").alias("k")), self.links.where("derived").select(F.lit("d").alias("k"))]
+        """n_candidates, and how many of them were settled by bounds from their leader and by their differences to it; all others were compared whole."""
+        one = F.lit(1).alias("n")
+        every = self.candidates.select(F.lit("c").alias("k"), one).unionByName(self.derived.where("settled").select(F.lit("b").alias("k"), one)).unionByName(self.derived.where("near and not settled").select(F.lit("d").alias("k"), one))
         count = lambda k: F.count_if(F.col("k") == k)
-        return every[0].unionByName(every[1]).unionByName(every[2]).agg(count("c").alias("n_candidates"), count("b").alias("n_bounded"), count("d").alias("n_derived"))
+        return every.agg(count("c").alias("n_candidates"), count("b").alias("n_by_bounds"), count("d").alias("n_by_differences"))
 
     def pairs(self) -> DataFrame:
         """a, b, jaccard of rows, a < b: linked classes member by member, and the members of one class, a large one in lots."""
