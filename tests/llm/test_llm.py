@@ -325,3 +325,30 @@ def test_sentences_of_any_length(spark):
     assert [r["sentence"] for r in got[5]] == ["a\ue000b \ue001c\ue010dd.", "Next\ue105 one."] and got[5][1]["start_char"] == own.index("Next")
     assert [r["start_char"] for r in got[6]] == list(range(0, 12000, 4))
     assert [r["start_char"] for r in got[7]] == [texts[7].index("Go.")] and not got[8]
+
+
+def test_odd_tables(spark):
+    """Nulls in any column, repeated rows, and further columns whose names the operators use themselves."""
+    long = "Jane said no. " * 20_000
+    texts = [None, "", " \n ", long, "a b c d e f g h i j k l m n o p q r s t u", "a b c d e f g h i j k l m n o p q r s t u", "ключи û – x@y.example"]
+    names = "id size digest tokens rep a b s x y field value restored chains complete found pieces start stop word words n n_words share score at mask token ids level part lot counts bucket _p _r _s _k _n _t _text _mask _own _spans".split()
+    rows = [(k if k != 2 else None, t, None, None, "en", *["z"] * len(names)) for k, t in enumerate(texts)] + [(4, texts[4], None, None, "en", *["z"] * len(names))]
+    schema = "parsed_id long, text string, metadata map<string,string>, source string, lang string, " + ", ".join(f"{n} string" for n in names)
+    df = spark.createDataFrame(rows, schema)
+    docs = df.withColumnRenamed("parsed_id", "doc_id")
+    known = spark.createDataFrame([(None, "given"), ("Jane", None), ("Doe", "family")], "name string, kind string")
+    assert [tuple(r) for r in pii.found(df, known).collect()] == [(6, "email", texts[6].index("x@"))]
+    assert pii.redacted(df, known).where("text is null").count() == 1
+    assert [r[0] for r in repetition.found(df).collect()] == [3] and repetition.repetition(df).count() == 8
+    assert mojibake.found(df).count() <= 1 and mojibake.affected(df).columns == ["parsed_id", "field", "value", "restored", "chains", "complete"]
+    assert [r[0] for r in chunking.found(df).collect()] == [3]
+    for key in ("_p", "parsed_id"):
+        assert chunking.split_texts(df, key=key).count() > 70
+    assert {tuple(r) for r in neardup.found(df).collect()} == {(4, 5)}
+    assert sentences.found(docs).where("doc_id = 3").count() == 20_000 and sentences.sentences(docs).where("doc_id = 6").count() > 0
+    assert docs.select("doc_id", bpe.token_ids(spark, F.col("text")).alias("i")).where("size(i) = 0").count() >= 2
+    targets = spark.createDataFrame([(None, 0.5, 1), ("a", None, 1), ("a", 0.5, None)], "source string, target_share double, max_repeats int")
+    assert mixing.mix(docs, targets)[0].count() == 0 and mixing.mix(docs.withColumn("source", F.lit("a")), targets)[0].count() > 0
+    for empty in (df.limit(0),):
+        assert pii.found(empty, known.limit(0)).count() == repetition.found(empty).count() == chunking.found(empty).count() == 0
+    assert sentences.found(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0), targets)[0].count() == 0
