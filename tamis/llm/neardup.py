@@ -39,7 +39,6 @@ TOKEN_BYTES = 5
 SHARED = 0.05
 LEAST_BITS, MOST_BITS = 20, 26  # of the count table: at most 64 MB of one-byte levels
 FAN_IN = 64  # count tables that are added up by one task
-LEAST_BUCKETS = 256  # so that what is left of a token fits 32 bits
 BUCKET_ENTRIES = 400_000
 HOT_ENTRIES = 100_000  # a token whose list may be longer, and that is HOT_TIMES as frequent as the mean, is cut into lots of sets
 HOT_TIMES = 8
@@ -186,6 +185,7 @@ def _entry_writer(levels, bits: int, buckets: int, t: float, shared: float, hot:
                 tokens, doc, place, bucket = (np.concatenate([x[few], x[many][at]]) for x in (tokens, doc, place, bucket))
                 bucket[few.sum() :] = split
             order = np.lexsort((doc, bucket)) if len(many) else np.argsort(bucket, kind="stable")
+            # what is left of a token is cut to 32 bits; with few buckets two tokens may then clash, which only adds candidates
             tokens, doc, place, bucket = (tokens // np.uint64(buckets))[order].astype(np.uint32), doc[order], place[order].astype(np.int32), bucket[order]
             cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, np.int64)
             rows = []
@@ -348,13 +348,14 @@ def _compare(t: float):
 
 
 def derived(candidates: DataFrame, star: DataFrame, t: float) -> DataFrame:
-    """a, b, n_a, n_b, n_r, low, high of the candidates outside ``star`` (b, r, n_b, n_r, with_r): bounds of what a and b share, from their leader; null without one."""
+    """a, b, n_a, n_b, n_r, low, high, near of the candidates outside ``star`` (b, r, n_b, n_r, with_r, near_b): bounds of what a and b share, from their leader, null without a common one;
+    and near: whether both are similar to it."""
     of_b = candidates.join(star, "b").where("a <> r")
-    of_a = star.select(F.col("b").alias("a"), F.col("r").alias("r_a"), F.col("n_b").alias("n_a"), F.col("with_r").alias("a_with_r"))
+    of_a = star.select(F.col("b").alias("a"), F.col("r").alias("r_a"), F.col("n_b").alias("n_a"), F.col("with_r").alias("a_with_r"), F.col("near_b").alias("near_a"))
     both = of_b.join(of_a, "a", "left").withColumn("_one", F.coalesce(F.col("r") == F.col("r_a"), F.lit(False)))
     low = F.col("a_with_r") + F.col("with_r") - F.col("n_r")
     high = F.least("a_with_r", "with_r") + F.least(F.col("n_a") - F.col("a_with_r"), F.col("n_b") - F.col("with_r"))
-    return both.select("a", "b", F.when(F.col("_one"), F.col("n_a")).alias("n_a"), "n_b", "n_r", F.when(F.col("_one"), low).alias("low"), F.when(F.col("_one"), high).alias("high"))
+    return both.select("a", "b", F.when(F.col("_one"), F.col("n_a")).alias("n_a"), "n_b", "n_r", F.when(F.col("_one"), low).alias("low"), F.when(F.col("_one"), high).alias("high"), (F.col("_one") & F.col("near_a") & F.col("near_b")).alias("near"))
 
 
 class NearDuplicates:
@@ -371,7 +372,7 @@ class NearDuplicates:
         tokens = kept.agg(F.sum("size")).first()[0] or 0
         bits = bits or table_bits(tokens)
         levels = spark.sparkContext.broadcast(frequency_levels(kept, bits, partitions))
-        buckets = max(partitions, LEAST_BUCKETS, -(-int((1 - t + shared) * tokens) // BUCKET_ENTRIES))
+        buckets = max(partitions, -(-int((1 - t + shared) * tokens) // BUCKET_ENTRIES))
         hot = max(hot_entries, HOT_TIMES * tokens / (1 << bits))
         reps = kept.groupBy("digest").agg(F.min("id").alias("rep"))
         self.members = cut(kept.select("id", "digest").join(reps, "digest").select("id", "rep"))
@@ -385,14 +386,12 @@ class NearDuplicates:
         pairs_of = lambda rows: rows.join(x, "a").join(y, "b")
         leaders = self.candidates.groupBy("b").agg(F.min("a").alias("a"))
         first = cut(pairs_of(leaders).select("a", "b", "n_a", "n_b", F.arrow_udf(_compare(t), DIFFERENCES)("x", "y").alias("d")).select("a", "b", "n_a", "n_b", "d.*"))
-        star = first.select("b", F.col("a").alias("r"), "n_b", F.col("n_a").alias("n_r"), F.col("n").alias("with_r"))
+        star = first.select("b", F.col("a").alias("r"), "n_b", F.col("n_a").alias("n_r"), F.col("n").alias("with_r"), F.col("less").isNotNull().alias("near_b"))
         share = lambda n: n / (F.col("n_a") + F.col("n_b") - n)
         reaches = lambda n: share(n) >= t - 1e-12
         settled = F.coalesce(reaches(F.col("low")) | ~reaches(F.col("high")), F.lit(False))
         of_a, of_b = first.where("less is not null").select(F.col("b").alias("a"), F.col("less").alias("less_a"), F.col("more").alias("more_a")), first.where("less is not null").select("b", F.col("less").alias("less_b"), F.col("more").alias("more_b"))
-        bounded = derived(self.candidates, star, t).withColumn("settled", settled)
-        self.derived = cut(bounded.join(first.where("less is not null").select("b", F.lit(True).alias("_near_b")), "b", "left").join(first.where("less is not null").select(F.col("b").alias("a"), F.lit(True).alias("_near_a")), "a", "left")
-            .select("a", "b", "n_a", "n_b", "n_r", "low", "settled", (F.col("low").isNotNull() & F.col("_near_a").isNotNull() & F.col("_near_b").isNotNull()).alias("near")))
+        self.derived = cut(derived(self.candidates, star, t).withColumn("settled", settled))
         by_bounds = self.derived.where(F.col("settled") & reaches(F.col("low"))).select("a", "b", share(F.col("low")).alias("jaccard"), F.lit(True).alias("derived"))
         apart = self.derived.where("near and not settled").join(of_a, "a").join(of_b, "b")
         both = F.arrow_udf(overlap, "int")("less_a", "less_b") + F.arrow_udf(overlap, "int")("more_a", "more_b")
