@@ -12,9 +12,14 @@ from pyspark.sql import functions as F
 from tamis.patterns import STEALTH
 
 
+STRIPPED = rf"[{STEALTH}\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+#: The same and a few more, in few ranges: quick to rule out.
+MAYBE_STRIPPED = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2069}\x{FEFF}]"
+
+
 def strip_stealth(text: Column) -> Column:
     """Without zero-width and bidi characters, and without C0 controls but tab, LF and CR."""
-    return F.regexp_replace(F.translate(text, STEALTH, ""), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
+    return F.when(text.rlike(MAYBE_STRIPPED), F.regexp_replace(text, STRIPPED, "")).otherwise(text)
 
 
 def nfkc(text: Column) -> Column:

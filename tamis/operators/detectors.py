@@ -18,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tamis.config import Config
-from tamis.functions.text import count_chars, entropies_of, matches, strip_stealth
+from tamis.functions.text import MAYBE_STRIPPED, count_chars, entropies_of, matches, strip_stealth
 from tamis.patterns import (
     BIDI,
     EICAR,
@@ -83,6 +83,24 @@ def gate(lower: Column, k: int) -> Column:
     return found
 
 
+def beginnings(pattern: str) -> list[str]:
+    """Lower-case texts with one of which every match of the pattern begins."""
+    p = pattern.replace(r"\b", "")
+    head, group, rest = re.fullmatch(r"((?:\\.|[^()\\:?*\[])*)(\([^()]*\))?(.*)", p, re.S).groups()
+    head = re.sub(r"\\(.)", r"\1", head)
+    return [(head + a).lower() for a in group[1:-1].split("|")] if group and not rest.startswith("?") else [head.lower()]
+
+
+def _tree(words: list[str]) -> str:
+    """A pattern of all words in which equal beginnings are tried once."""
+    if "" in words:
+        return ""
+    heads = sorted({w[0] for w in words})
+    return "(?:" + "|".join(re.escape(h) + _tree([w[1:] for w in words if w[0] == h]) for h in heads) + ")"
+
+
+#: Some pattern's beginning, over lower-cased texts.
+ANY_BEGINNING = r"(?<![\p{L}\p{Nd}_])" + _tree([b for _, p, _ in PROMPTS for b in beginnings(p)])
 MATCH = "array<struct<w:double,ord:int,category:string,match:string>>"
 
 
@@ -91,7 +109,7 @@ def prompt_matches(text: Column) -> Column:
 
     def tried(lower: Column) -> Column:
         one = lambda k, c, p, w: F.when(gate(lower, k) & has(text, p), F.struct(F.lit(-w).alias("w"), F.lit(k).alias("ord"), F.lit(c).alias("category"), F.substring(F.regexp_extract(text, "(?iU)" + p, 0), 1, 50).alias("match")))
-        return F.array_sort(F.array_compact(F.array(*[one(k, *x) for k, x in enumerate(PROMPTS)])))
+        return F.when(lower.rlike(ANY_BEGINNING), F.array_sort(F.array_compact(F.array(*[one(k, *x) for k, x in enumerate(PROMPTS)])))).otherwise(F.array().cast(MATCH))
 
     return let(F.lower(text), tried)
 
@@ -171,14 +189,21 @@ def prompt_injection_all(text: Column, others: Column, similarity: Column | None
     alike = lambda t, k: F.when((k == 0) & (F.length(t) > 0), similarity)
     scan = (lambda t, k: prompt_injection(t, similarity=alike(t, k))) if similarity is not None else (lambda t, k: prompt_injection(t))
     plain = F.coalesce(F.flatten(F.transform(clean, scan)), nothing)
-    runs = F.flatten(F.transform(clean, lambda t: F.regexp_extract_all(t, F.lit(r"(?:[A-Za-z0-9+/]{4}){20,}(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?"), F.lit(0))))
+    none = F.array().cast("array<string>")
+    runs = F.flatten(F.transform(clean, lambda t: F.when(long_run(t, 80), F.regexp_extract_all(t, F.lit(r"(?:[A-Za-z0-9+/]{4}){20,}(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?"), F.lit(0))).otherwise(none)))
     inner = F.flatten(F.transform(F.filter(decoded(runs), lambda t: F.coalesce(F.length(t) > 10, F.lit(False))), lambda t: prompt_injection(t, " (Base64 Decoded)")))
     return F.concat(plain, inner)
 
 
+def long_run(text: Column, n: int) -> Column:
+    """Whether a text holds so many characters of base64 in a row. The pattern only runs where so many characters stand without a blank."""
+    piece = F.exists(F.split(text, " "), lambda w: F.length(w) >= n)
+    return F.coalesce(piece & text.rlike(rf"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{{{n}}}"), F.lit(False))
+
+
 def stuffing_tokens(text: Column) -> Column:
     """Lower-cased alphabetic tokens of at least three letters."""
-    return F.filter(F.split(F.lower(text), r"(?U)[\s\x1c-\x1f]+"), lambda t: t.rlike(r"^\p{L}{3,}$"))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(?<![^\s\x1c-\x1f])\p{L}{3,}+(?![^\s\x1c-\x1f])"), F.lit(0))
 
 
 def top_token(tokens: Column) -> Column:
@@ -203,7 +228,8 @@ def keyword_stuffing(text: Column) -> Column:
 
         return F.when(F.size(tokens) >= 200, let(top_token(tokens), made)).otherwise(F.array().cast(NONE))
 
-    return let(stuffing_tokens(text), judged)
+    # 200 tokens of three letters and the blanks between them
+    return F.when(F.length(text) >= 799, let(stuffing_tokens(text), judged)).otherwise(F.array().cast(NONE))
 
 
 REPEATED = r"(?U)(\b\w+\s+)\1{10,}"
@@ -247,21 +273,32 @@ def hex_blocks(text: Column) -> Column:
 
 
 def embedded_payload(text: Column, hex_blobs: Column) -> Column:
-    blocks = base64_blocks(text)
+    long = F.when(long_run(text, 512), text)  # no block is in other texts
+    blocks = base64_blocks(long)
     dense = F.filter(F.arrays_zip(blocks.alias("b"), entropies(blocks).alias("h")), lambda x: x["h"] >= 4.5)
     base64 = F.try_element_at(dense, F.lit(1))["b"]
     blob = F.try_element_at(F.filter(F.coalesce(hex_blobs, F.array().cast("array<string>")), lambda b: (F.length(b) > 1024) & ~F.upper(F.substring(b, 1, 8)).isin(OLE_HEX, PLACEHOLDER_HEX)), F.lit(1))
-    run = F.try_element_at(hex_blocks(text), F.lit(1))
+    run = F.try_element_at(hex_blocks(long), F.lit(1))
     t, m = "T7_EMBEDDED_PAYLOAD", "embedded_payload"
     size = lambda kind, c: F.struct(F.lit(kind).alias("type"), F.length(c).alias("length"))
     return together(
         when(base64.isNotNull(), finding(t, "HIGH", "Large Base64 Block Detected", "A dense base64 block of more than 1 KB may hide a payload.", size("base64", base64), m, 0.9)),
         when(blob.isNotNull(), finding(t, "HIGH", "Large Hex Blob Detected in PDF", "The file holds a very long hexadecimal string.", size("hex_blob", blob), m, 0.9)),
         when(run.isNotNull(), finding(t, "HIGH", "Large Hex Blob Detected", "The text holds a hexadecimal string of more than 256 bytes.", size("hex", run), m, 0.8)),
-        *[when(F.coalesce(text.rlike("(?iUd)" + p), F.lit(False)), finding(t, "CRITICAL", f"Suspicious Script/Command: {title}", f"A pattern of running scripts or commands: {title}.", module=m, confidence=0.95)) for p, title in SCRIPTS],
+        scripts(text),
     )
 
 
+#: What a match of each pattern of SCRIPTS holds in lower case.
+SCRIPT_SIGNS = ["eval", "powershell", "cmd.exe"]
+
+
+def scripts(text: Column) -> Column:
+    t, m = "T7_EMBEDDED_PAYLOAD", "embedded_payload"
+    made = lambda title: finding(t, "CRITICAL", f"Suspicious Script/Command: {title}", f"A pattern of running scripts or commands: {title}.", module=m, confidence=0.95)
+    return let(F.lower(text), lambda low: together(*[when(F.coalesce(F.contains(low, F.lit(sign)) & text.rlike("(?iUd)" + p), F.lit(False)), made(title)) for (p, title), sign in zip(SCRIPTS, SCRIPT_SIGNS)]))
+
+
 def metadata_injection(values: Column) -> Column:
     """Over all metadata values and comments."""
     t, m = "T8_METADATA_INJECTION", "metadata_injection"
@@ -285,10 +322,20 @@ def rules(text: Column, table: list[tuple[str, str]] | None = None) -> Column:
     return F.when(test, F.array(signature)).otherwise(F.coalesce(found, F.array().cast(NONE)))
 
 
+#: Every number of the personal patterns holds a match of this.
+NUMBER_LIKE = r"\d{3}\)?[-. ]?\d{2,3}[-. ]?\d{4}"
+
+
 def personal_counts(text: Column) -> Column:
     """array<struct<type, n, examples>> of the kinds found."""
-    one = lambda p, kind: let(matches(text, p), lambda m: F.struct(F.lit(kind).alias("type"), F.size(m).alias("n"), F.slice(m, 1, 3).alias("examples")))
-    return F.filter(F.array(*[one(p, kind) for p, kind in PERSONAL]), lambda x: x["n"] > 0)
+    none = F.array().cast("array<string>")
+
+    def counted(numbers: Column) -> Column:
+        maybe = lambda kind: F.contains(text, F.lit("@")) if kind == "Email Address" else numbers
+        one = lambda p, kind: let(F.when(maybe(kind), matches(text, p)).otherwise(none), lambda m: F.struct(F.lit(kind).alias("type"), F.size(m).alias("n"), F.slice(m, 1, 3).alias("examples")))
+        return F.filter(F.array(*[one(p, kind) for p, kind in PERSONAL]), lambda x: x["n"] > 0)
+
+    return let(F.coalesce(text.rlike(NUMBER_LIKE), F.lit(False)), counted)
 
 
 def personal_severity(counts: Column) -> Column:
@@ -308,25 +355,23 @@ def hidden_text(hidden: Column, allow_watermarks: bool = True) -> Column:
     return F.transform(F.filter(kept, lambda h: F.length(h) > 50), lambda h: finding("T3_OBFUSCATION", "HIGH", "Hidden Text Detected", "A long text is marked as not shown.", F.struct(F.length(h).alias("length"), F.substring(h, 1, 100).alias("snippet")), "hidden_text", 0.9))
 
 
-def obfuscation_signals(text: Column, compression: Column | None = None, density: Column | None = None) -> Column:
-    starts = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text), F.lit(500))).otherwise(F.array().cast("array<int>"))
+def obfuscation_signals(text: Column, compression: Column | None = None, density: Column | None = None, alone: bool = True) -> Column:
+    """The names of the signals found. Unless ``alone``, the entropy of chunks is only taken where there is another signal, as one is no finding."""
+    name = lambda c, n: F.when(c, F.lit(n))
+    counted = F.array(name(count_chars(text, ZERO_WIDTH) >= 25, "high_zero_width"), name(count_chars(text, BIDI) >= 2, "high_bidi"))
+    marks = F.when(text.rlike(MAYBE_STRIPPED), F.array_compact(counted)).otherwise(F.array().cast("array<string>"))
+    of_file = F.array_compact(F.array(name(compression > 100 if compression is not None else F.lit(False), "compression_anomaly"), name(density > 1000 if density is not None else F.lit(False), "high_object_density")))
+    wanted = F.lit(True) if alone else (F.size(of_file) > 0) | (F.size(marks) > 0)
+    starts = F.when((F.length(text) > 0) & wanted, F.sequence(F.lit(1), F.length(text), F.lit(500))).otherwise(F.array().cast("array<int>"))
     chunks = F.transform(starts, lambda k: F.substring(text, k, F.lit(500)))
     high = F.size(F.filter(entropies(F.filter(chunks, lambda c: F.length(c) >= 50)), lambda h: h > 5.5))
-    signal = lambda c, name: F.when(c, F.lit(name))
-    return F.array_compact(
-        F.array(
-            signal(count_chars(text, ZERO_WIDTH) >= 25, "high_zero_width"),
-            signal(count_chars(text, BIDI) >= 2, "high_bidi"),
-            signal((high >= 2) | (high / F.nullif(F.size(chunks), F.lit(0)) > 0.3), "high_entropy"),
-            signal(compression > 100 if compression is not None else F.lit(False), "compression_anomaly"),
-            signal(density > 1000 if density is not None else F.lit(False), "high_object_density"),
-        )
-    )
+    entropy = F.array_compact(F.array(name((high >= 2) | (high / F.nullif(F.ceil(F.length(text) / 500), F.lit(0)) > 0.3), "high_entropy")))
+    return F.concat(marks, entropy, of_file)
 
 
 def obfuscation(text: Column, encrypted: Column | None = None, **more: Column) -> Column:
     """Two signals make a finding; the token of an encrypted file is one by itself and ends the check. Empty texts have none."""
-    signals = obfuscation_signals(text, **more)
+    signals = obfuscation_signals(text, alone=False, **more)
     explain = lambda s: F.concat(F.lit("Signals of obfuscation: "), F.array_join(s, ", "), F.lit("."))
     several = let(signals, lambda s: when(F.size(s) >= 2, finding("T3_OBFUSCATION", "HIGH", "Obfuscation Detected (Multi-Signal)", explain(s), F.struct(s.alias("signals"), F.size(s).alias("count")), "text_obfuscation")))
     if encrypted is not None:

@@ -336,7 +336,7 @@ def d06_cosine(spark, sf_dir):
     return reports.most_similar(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding").withColumn("max_sim", F.round("max_sim", 5))
 
 
-_STUFF = """WITH t AS (SELECT {key}, unnest(regexp_split_to_array(lower(text), '[\\s\\x1c-\\x1f]+')) AS w, generate_subscripts(regexp_split_to_array(lower(text), '[\\s\\x1c-\\x1f]+'), 1) AS i FROM {table}),
+_STUFF = """WITH t AS (SELECT {key}, unnest(regexp_split_to_array(lower(text), '[\\s\\x0B\\x1c-\\x1f\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+')) AS w, generate_subscripts(regexp_split_to_array(lower(text), '[\\s\\x0B\\x1c-\\x1f\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+'), 1) AS i FROM {table}),
 k AS (SELECT {key}, w, i FROM t WHERE regexp_matches(w, '^\\p{{L}}{{3,}}$')),
 n AS (SELECT {key}, count(*) AS n_tokens FROM k GROUP BY 1), c AS (SELECT {key}, w, count(*) AS freq, min(i) AS i FROM k GROUP BY 1, 2),
 b AS (SELECT {key}, arg_max(w, (freq, -i)) AS token, max(freq) AS freq FROM c GROUP BY 1)
