@@ -1,12 +1,12 @@
 """Problem 3: text that was decoded with the wrong character encoding.
 
 A multinomial classifier over hashed byte bigrams is trained on words that are garbled by every chain of encodings below: those
-of a small seed text and those of a bounded sample of the input's own clean values (``fit``). It predicts a chain (or none) for
+of a small seed text and those of all values of the input that the seeds' model finds clean (``fit``). It predicts a chain (or none) for
 each word with characters beyond ASCII, and from the scores of all words of a field one chain for the field. The chain is
 inverted on the runs of such characters, which must decode strictly, and the result must be likelier to be clean than
 the word was; then the word counts as garbled and is restored. Words of single-byte chains look clean too often to be judged
 alone: what settles them is a spelling that no clean word has, the evidence pooled over the field, or that the inverted word
-is one of the sample's clean words and the word itself is none. U+FFFD and words of lone C1 controls count as garbled without a
+is one of the input's clean words and the word itself is none, or a far rarer one. U+FFFD and words of lone C1 controls count as garbled without a
 restoration.
 
 Results: null and empty values and ASCII text are never affected; a field is affected if any of its words is;
@@ -19,6 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -42,11 +43,10 @@ Les contrôleurs ont reçu les procès-verbaux à la hâte. « Où sont les él
 It isn’t known — all 40 of them — why “the applicants’ letters” cost €20 – or £5, ½ of it… naïve résumé, façade, coöperate, • item, ™ mark, © 2020, ® sign, 20 °C, ±3, × 2, § 4, ¶ end. SÃO PAULO, CÂMARA DE AVEIRO, ÆTHER, Ørsted, Ångström, Łódź, Škoda, Čapek, žena, İstanbul, ÎLE, ÀS ÂNGULO, MAÇÃ, IRMÃ, NÃO, PÂTÉ, Ð, ß, Ü, Ö, Ä, ý, þ, ¡, ¿, µm, m², m³, ¼, ¾, ‰, †, ‡, ‹x›, « x »"""
 SEED_CYRILLIC = """Никто не знал, что повара отметили инспекторы. Архивы подтвердили жильцы по просьбе, а графики задержали договоры. Ещё вчера накладные передали отчёты «без предупреждения» — дважды в месяц. Курьеры собрали чертежи в спешке; образцы нашли ключи. Для склада приборы описали протоколы до закрытия. В деле № 17 справки сократили журналы. Переводчики разобрали заявки к обеду. Склады забыли счета после проверки. Почему объект съёмки эхо юность щука Хлеб Фонд Цех Шум Эра Юг Яма Жизнь Зима Игра Йод Конец Лес Мир Ночь Осень Право Река Снег Труд Утро Человек Большой дом стоит на берегу; люди живут хорошо, работают много, читают книги, пишут письма. Смета Протокол Накладная Договор Сроки Бюджет Отчёт Приложение к совещанию исправили проверили учли заменили переписали. ПРОТОКОЛ ОТЧЁТ ДОГОВОР СКЛАД"""
 DECOYS = "Θ-Modul ΔT Δx Σ(x) α-Wert β-Test π≈3 µ-Faktor Ω-Form λ→0 λ φ=1 σ² Φ-Modul Γ-Wert τ-Wert δ=2 ε>0 √2 ≤5 ≥3 ≠0 ∞ │ ─ ┌──┐ └──┘ ├── └── ║ ═══ █ ░ ▒ ▓ ■ ● ☆ ✓ → 📄 💻 🧾 ✅ 👩‍💻 🇪🇺 café naïve résumé 日本 東京 한국 ไทย हिन्दी العربية Αθήνα Ελλάδα № 5 №17 ﻿Text   x y 5 € soft­hyphen ​x x y".split(" ")
-RUN = re.compile(r"[^\x00-\x7f]+")
-SAMPLE = 4000  # values from which the classifier also learns, about: those of the least hashes
-SAMPLE_CHARS = 10_000  # longer values are not learnt from, so the driver gets at most 2 * SAMPLE * SAMPLE_CHARS characters
-LEAST_SHAPES = 10  # values of the sample in which a sign must stand in a shape for it to count
-LEAST_SEEN = 4  # values of the sample in which a shape with a letter beyond ASCII must stand to be clean
+LEAST_SHAPES = 10  # clean values in which a sign must stand in a shape for it to count
+LEAST_SEEN = 4  # clean values in which a shape with a letter beyond ASCII must stand to be clean
+LEAST_WORDS = 2  # clean values in which a word must stand to be in the vocabulary
+RARER = 0.005  # times as often as another a word or shape may stand in values that pass for clean, and still be a garbled form of it
 LEAST_VOTE = 4  # letters of an inverted word that must be in the vocabulary to count by itself
 
 
@@ -67,6 +67,11 @@ def _chars_of(encoding: str) -> list[str]:
     return [c for c, _ in sorted(_bytes_of(encoding).items(), key=lambda x: x[1])]
 
 
+def odd_words(text: str) -> set[str]:
+    """The different words with a character beyond ASCII; only blanks, tabs and line ends part words."""
+    return {w for w in set(text.replace("\t", " ").replace("\r", " ").replace("\n", " ").split(" ")) if not w.isascii()}
+
+
 def name(chain: tuple[str, str, int]) -> str:
     return f"{chain[0]}>{chain[1]}" + ("" if chain[2] == 1 else f" x{chain[2]}")
 
@@ -83,22 +88,27 @@ def garble(text: str, chain: tuple[str, str, int]) -> str | None:
     return text
 
 
-def invert(word: str, chain: tuple[str, str, int]) -> str | None:
-    """The word before the chain, run by run of its characters beyond ASCII; None unless all runs decode strictly."""
-    right, wrong, times = chain
+@lru_cache(None)
+def _back(chain: tuple[str, str, int]) -> dict:
+    """Of each character of the wrong encoding its byte or, for single-byte chains, the right character; ASCII stays."""
+    right, wrong, _ = chain
+    table = _bytes_of(wrong) | {chr(b): b for b in range(128)}
+    return table if right == "utf-8" else {c: _chars_of(right)[b] if b > 127 else c for c, b in table.items()}
+
+
+CONTROL = re.compile(r"[\x00-\x08\x0b-\x1f\x7f-\x9f�]")
 
-    def back(match: re.Match) -> str:
-        run = match.group()
-        for _ in range(times):
-            data = bytes(_bytes_of(wrong)[c] for c in run)
-            run = data.decode("utf-8") if right == "utf-8" else "".join(_chars_of(right)[b] for b in data)
-        return run
 
+def invert(word: str, chain: tuple[str, str, int]) -> str | None:
+    """The word before the chain; None unless all runs of its characters beyond ASCII decode strictly."""
+    table, restored = _back(chain), word
     try:
-        restored = RUN.sub(back, word)
+        for _ in range(chain[2]):
+            back = [table[c] for c in restored]
+            restored = bytes(back).decode() if chain[0] == "utf-8" else "".join(back)
     except (KeyError, UnicodeDecodeError):
         return None
-    return None if restored == word or re.search(r"[\x00-\x08\x0b-\x1f\x7f-\x9f�]", restored) else restored
+    return None if restored == word or CONTROL.search(restored) else restored
 
 
 def features(word: str) -> np.ndarray:
@@ -108,28 +118,79 @@ def features(word: str) -> np.ndarray:
     return (pair * np.uint32(2654435761)) >> np.uint32(32 - 13)
 
 
+def bigrams(words: list[str]) -> np.ndarray:
+    """How often each bucket is in all words together."""
+    if not words:
+        return np.zeros(BUCKETS, np.int64)
+    data = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
+    ends = np.cumsum([len(w.encode("utf-8", "surrogatepass")) + 2 for w in words])[:-1] - 1
+    pair = np.delete(data[:-1] << 8 | data[1:], ends)
+    return np.bincount((pair * np.uint32(2654435761)) >> np.uint32(32 - 13), minlength=BUCKETS)
+
+
+def garbled(words: list[str], chain: tuple[str, str, int]) -> list[str]:
+    """The words that the chain changes, garbled; none may hold a line feed."""
+    right, wrong, times = chain
+    try:
+        "".join(words).encode(right)
+    except UnicodeEncodeError:
+        words = [w for w in words if garble(w, (right, wrong, 1)) is not None]
+    made = (garble("\n".join(words), chain) or "").split("\n") if words else []
+    return [g for w, g in zip(words, made, strict=True) if g != w]
+
+
+def training(western: Iterable[str], cyrillic: Iterable[str]) -> np.ndarray:
+    """Bigrams of clean words: of all as they are, garbled by each chain, and as they are by script. Those of parts add up to those of the whole."""
+    western, cyrillic = [w for w in western if not w.isascii()], [w for w in cyrillic if not w.isascii()]
+    rows = [bigrams(western + cyrillic)]
+    for chain in CHAINS:
+        rows.append(bigrams(garbled(cyrillic if chain[0] in ("cp1251", "koi8-r", "cp866") else western if chain[0] != "utf-8" else western + cyrillic, chain)))
+    # clean words of one script each: a text is held against the likelier one, as the chains know one script too
+    return np.stack([*rows, bigrams(western), bigrams(cyrillic), np.zeros(BUCKETS, np.int64)])
+
+
+@lru_cache(1)
+def _seeds() -> np.ndarray:
+    western, cyrillic = SEED_WESTERN.split(), SEED_CYRILLIC.split()
+    western += [w.upper() for w in western] + [w.lower() for w in western]
+    cyrillic += [w.upper() for w in cyrillic]
+    counts = training(western, cyrillic)
+    decoys = bigrams([w for w in DECOYS * 5 if not w.isascii()])
+    counts[0] += decoys
+    counts[-1] += decoys
+    return counts
+
+
+def hashed(key: str) -> int:
+    return int.from_bytes(blake2b(key.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+class Known:
+    """In how many clean values the words and shapes stand: 64-bit hashes of their keys (see ``keys``) and numbers, 16 bytes each."""
+
+    def __init__(self, hashes: Iterable[int] = (), times: Iterable[int] = ()):
+        hashes, times = np.asarray(hashes, np.int64), np.asarray(times, np.int64)
+        order = np.argsort(hashes)
+        self.hashes, self.times = hashes[order], times[order]
+
+    def of(self, key: str) -> int:
+        h = hashed(key)
+        k = int(np.searchsorted(self.hashes, h))
+        return int(self.times[k]) if k < len(self.hashes) and self.hashes[k] == h else 0
+
+    def word(self, word: str) -> int:
+        c = core(word)
+        return self.of("w" + c) if counted(c) else 0
+
+
 class Classifier:
     """Multinomial naive Bayes over BUCKETS bigram buckets; classes: CLEAN and each chain."""
 
-    def __init__(self, more: Iterable[str] = (), vocabulary: frozenset[str] = frozenset(), signs: frozenset[str] = frozenset(), seen: frozenset[str] = frozenset()):
-        """``more``: clean words besides those of the seeds; ``vocabulary``: clean words, as ``core`` has them; ``signs``: frequent shapes
-        of clean words whose characters beyond ASCII are no letters; ``seen``: the shapes of clean words."""
-        western, cyrillic = SEED_WESTERN.split(), SEED_CYRILLIC.split()
-        western += [w.upper() for w in western] + [w.lower() for w in western]
-        cyrillic += [w.upper() for w in cyrillic]
-        for w in more:
-            (cyrillic if re.search("[\u0400-\u04ff]", w) else western).append(w)
-        self.vocabulary, self.signs, self.seen = vocabulary, signs, seen
-        self.classes: list = [None]
-        rows = [np.concatenate([features(w) for w in [*western, *cyrillic, *DECOYS * 5] if not w.isascii()])]
-        for chain in CHAINS:
-            words = cyrillic if chain[0] in ("cp1251", "koi8-r", "cp866") else western if chain[0] != "utf-8" else western + cyrillic
-            made = [g for w in words if not w.isascii() and (g := garble(w, chain)) and g != w]
-            self.classes.append(chain)
-            rows.append(np.concatenate([features(g) for g in made]))
-        # clean words of one script each: a text is held against the likelier one, as the chains know one script too
-        rows += [np.concatenate([features(w) for w in words if not w.isascii()]) for words in (western, cyrillic, DECOYS * 5)]
-        counts = np.stack([np.bincount(r, minlength=BUCKETS) for r in rows]) + 0.02
+    def __init__(self, more: np.ndarray | int = 0, known: Known | None = None):
+        """``more``: ``training`` of clean words besides those of the seeds; ``known``: what stands in clean values."""
+        self.known = known or Known()
+        self.classes: list = [None, *CHAINS]
+        counts = _seeds() + more + 0.02
         self.log = np.log(counts / counts.sum(1, keepdims=True))
 
     def scores(self, word: str) -> np.ndarray:
@@ -159,6 +220,7 @@ def install(model: Classifier | None) -> None:
     if _installed is not model:
         _installed = model
         ratios.cache_clear()
+        peak.cache_clear()
         judge.cache_clear()
         known_as.cache_clear()
 
@@ -173,24 +235,53 @@ def shape(word: str) -> str:
     return re.sub(r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$", "", re.sub("[0-9]+", "0", re.sub("[A-Za-z]+", "a", word)))
 
 
-def learn(values: Iterable[str]) -> Classifier:
-    """The model of a sample: words of its values that the model of the seeds finds clean, garbled by all chains. Words of more than one
-    such value are the vocabulary."""
+def training_of(keys: Iterable[str]) -> np.ndarray:
+    """``training`` of the words among the keys."""
+    by_script: tuple[list, list] = [], []
+    for k in keys:
+        if k[0] == "f":
+            by_script[bool(re.search("[\u0400-\u04ff]", k))].append(k[1:])
+    return training(*by_script)
+
+
+def lettered(of: str) -> bool:
+    """Whether a shape has a letter beyond ASCII."""
+    return any(c.isalpha() and not c.isascii() for c in of)
+
+
+def counted(of: str) -> bool:
+    """Whether a core is counted."""
+    return len(of) >= 3 and not of.isascii()
+
+
+@lru_cache(400_000)
+def keys(word: str) -> tuple[str, ...]:
+    """What a word of a clean value is counted as: itself (f), its core (w), its shape (s)."""
+    if word.isascii() or unnatural(word):
+        return ()
+    return "f" + word, "s" + shape(word), *(["w" + core(word)] if counted(core(word)) else [])
+
+
+def count(values: Iterable[str], times: Counter) -> None:
+    """Adds the values in which each key stands, of those that the model of the seeds finds clean."""
     install(None)
-    times: Counter = Counter()
-    shapes: Counter = Counter()
-    forms: set[str] = set()
     for value in values:
         if repair(value) is None:
-            words = {w for w in re.split(r"[ \t\r\n]+", value) if not w.isascii() and not unnatural(w)}
-            forms |= words
-            times.update({c for w in words if len(c := core(w)) >= 3 and not c.isascii()})
-            shapes.update({shape(w) for w in words})
-    lettered = {x for x in shapes if any(c.isalpha() and not c.isascii() for c in x)}
-    signs = frozenset(x for x, n in shapes.items() if n >= LEAST_SHAPES and x not in lettered)
-    # a few garbled signs that the seeds miss get into the sample as single letters
-    seen = frozenset(x for x, n in shapes.items() if n >= (LEAST_SEEN if x in lettered else 1))
-    return Classifier(sorted(forms), frozenset(w for w, n in times.items() if n > 1), signs, seen)
+            times.update({k for w in odd_words(value) for k in keys(w)})
+
+
+def counts(key: str, n: int) -> bool:
+    """Whether a word or shape that stands in ``n`` values is known. A few garbled signs that the seeds miss pass for clean as single letters."""
+    return key[0] == "w" and n >= LEAST_WORDS or key[0] == "s" and n >= (LEAST_SEEN if lettered(key[1:]) else 1)
+
+
+def learn(values: Iterable[str]) -> Classifier:
+    """The model of values that are at hand: words of those that the model of the seeds finds clean, garbled by all chains, and how many stand
+    in how many of them. ``fit`` makes the same of a column."""
+    times: Counter = Counter()
+    count(values, times)
+    known = {k: n for k, n in times.items() if counts(k, n)}
+    return Classifier(training_of(times), Known([hashed(k) for k in known], list(known.values())))
 
 
 @lru_cache(50_000)
@@ -198,6 +289,12 @@ def ratios(word: str) -> np.ndarray:
     return classifier().ratios(word)
 
 
+@lru_cache(400_000)
+def peak(word: str) -> float:
+    """The most that a word can add to the evidence of a chain."""
+    return max(0.0, float(ratios(word).max()))
+
+
 # Signs that stand beside letters in clean text, and letters that Russian does not have.
 BESIDE = set("’‘“”–—«»…„¿¡ºª°§№€£·•™®©\xad\u200b\u200d\ufeff\xa0")
 CLOSE = 6.0  # log likelihood ratio within which the spelling decides on a word of a garbled text
@@ -236,20 +333,22 @@ def judge(word: str) -> tuple[str, str | None] | None:
     model = classifier()
     if "�" in word:
         return "lossy", None
-    scores = model.scores(word)
+    scores, odd = model.scores(word), unnatural(word)
     ranked = [model.classes[k] for k in np.argsort(-scores)]
-    # several UTF-8 bytes of a character hardly ever decode by chance, so those chains are tried first
-    for chain in sorted((c for c in ranked if c), key=lambda c: c[0] != "utf-8"):
+    # several UTF-8 bytes of a character hardly ever decode by chance, so those chains are tried first, and twice before once
+    for chain in sorted((c for c in ranked if c), key=lambda c: (c[0] != "utf-8", -c[2])):
+        if chain[0] != "utf-8" and not odd:
+            break
         restored = invert(word, chain)
         if restored is None:
             continue
         if chain[0] == "utf-8":
-            likely = scores[model.classes.index(chain)] > scores[0] or unnatural(word)
+            likely = scores[model.classes.index(chain)] > scores[0] or odd
             if likely and not re.search("[\u0530-\u058f\u0700-\u08ff\u1000-\u1dff]", restored):  # scripts that such bytes form by chance
                 return name(chain), restored
             continue
         gain = model.scores(restored)[0] / (len(restored.encode()) + 1) - scores[0] / (len(word.encode()) + 1)
-        if gain > 0 and unnatural(word) and not unnatural(restored) and all(c.isalpha() or c in BESIDE for c in restored if not c.isascii()):
+        if gain > 0 and not unnatural(restored) and all(c.isalpha() or c in BESIDE for c in restored if not c.isascii()):
             return name(chain), restored
     if re.search(r"[\x80-\x9f]", word):
         return "unknown", None
@@ -265,6 +364,8 @@ class Field(NamedTuple):
 def pooled(words: list[str], least: float = 0.0) -> Field | None:
     """The single-byte chain that explains the words of a field best; None if clean text or a UTF-8 chain explains them
     better, or if the evidence is not over ``least``. Words that a chain cannot have made count as clean in it."""
+    if sum(map(peak, words)) < least - 1e-6:
+        return None
     model = classifier()
     of = np.stack([ratios(w) for w in words])
     most = np.maximum(of, 0).sum(0)
@@ -305,34 +406,48 @@ def in_chain(word: str, field: Field) -> str | None:
 
 @lru_cache(400_000)
 def known_as(word: str) -> dict[int, tuple[str, bool]]:
-    """By class: what a word that is not in the sample becomes by inverting the chain, if that is in the vocabulary or a sign of it; and whether
-    it is enough by itself."""
+    """By class: what a word becomes by inverting the chain, if that is in the vocabulary or a frequent sign and the word is unknown or far
+    rarer; and whether it is enough by itself."""
     model, out = classifier(), {}
-    if core(word) not in model.vocabulary and shape(word) not in model.seen:
-        for k, chain in enumerate(model.classes[1:], 1):
-            if r := invert(word, chain):
-                sign = shape(r) in model.signs
-                if sign or core(r) in model.vocabulary:
-                    out[k] = r, sign or len(core(r)) >= LEAST_VOTE
+    if not len(model.known.hashes):
+        return out
+    seen = model.known.of("s" + shape(word))
+    own = model.known.word(word) if counted(core(word)) else seen
+    for k, chain in enumerate(model.classes[1:], 1):
+        if r := invert(word, chain):
+            n, letters = model.known.word(r), lettered(r)
+            if letters and not n:
+                continue
+            s = model.known.of("s" + shape(r))
+            sign = s >= LEAST_SHAPES and not letters
+            # one word that is far more frequent than the other is evidence enough; else the shape must be unusual, too
+            if n and max(own, 1) <= RARER * n or (sign or n) and own <= RARER * max(n, s if sign else 0) and seen <= RARER * s:
+                out[k] = r, sign or len(core(r)) >= LEAST_VOTE
     return out
 
 
-def votes(words: list[str]) -> tuple[tuple[str, str, int], set[str]] | None:
-    """The chain by which most words that are not in the sample become words that are in its vocabulary or signs, and these words. None unless
-    two of them, a long one or a sign do, and more than stay words of the vocabulary as they are although the chain changes them."""
+def stays(word: str, chain: tuple[str, str, int]) -> bool:
+    """Whether a word is in the vocabulary and no garbled form of another by the chain."""
+    model = classifier()
+    return model.known.word(word) > 0 and model.classes.index(chain) not in known_as(word)
+
+
+def votes(words: list[str], certain: bool = False) -> tuple[tuple[str, str, int], set[str]] | None:
+    """The chain by which most words that are not known become words that are in the vocabulary or signs, and these words. None unless
+    two of them, a long one or a sign do (any, if the text is garbled for ``certain``), and more than stay words of the vocabulary as they are although the chain changes them."""
     model = classifier()
     made: dict[int, list[str]] = {}
     sure: set[int] = set()
     for w in words:
         for k, (_, enough) in known_as(w).items():
             made.setdefault(k, []).append(w)
-            if enough or len(made[k]) > 1:
+            if certain or enough or len(made[k]) > 1:
                 sure.add(k)
     if not sure:
         return None
     best = max(sorted(sure), key=lambda k: (len(made[k]), float(sum(ratios(w)[k] for w in made[k]))))
     chain = model.classes[best]
-    kept = [w for w in words if core(w) in model.vocabulary and invert(w, chain)]
+    kept = [w for w in words if stays(w, chain) and invert(w, chain)]
     return (chain, set(made[best])) if len(made[best]) > len(kept) else None
 
 
@@ -342,12 +457,12 @@ def repair(text: str) -> tuple[str | None, list[str], bool] | None:
     Each word is judged alone first. A single-byte chain is then chosen once for the whole text, and all its words follow."""
     if text.isascii():
         return None
-    words = sorted(w for w in set(re.split(r"[ \t\r\n]+", text)) if not w.isascii())
+    words = sorted(odd_words(text))
     found = {w: j for w in words if (j := judge(w))}
     field, complete, elected = None, True, set()
     if not found or any(c in SINGLE_BYTE for c, _ in found.values()):
         whole = [w for w in words if "�" not in w]
-        vote = votes(whole)
+        vote = votes(whole, bool(found))
         if vote and vote[0][0] != "utf-8":
             elected = vote[1]
             fit = [w for w in whole if invert(w, vote[0])]
@@ -358,14 +473,13 @@ def repair(text: str) -> tuple[str | None, list[str], bool] | None:
             if not found and not (field and restores(field, whole)):
                 return None
     if field:
-        known = classifier().vocabulary
         for w in whole:
             own = next((c for c in CHAINS if c[0] == "utf-8" and w in found and name(c) == found[w][0]), None)
             if own and likelier(w, own, field.chain) > CLOSE:
                 continue
             if w in elected:
                 found[w] = name(field.chain), invert(w, field.chain)
-            elif core(w) in known and w not in found:
+            elif w not in found and stays(w, field.chain):
                 continue
             elif restored := in_chain(w, field):
                 found[w] = name(field.chain), restored
@@ -403,20 +517,47 @@ def values(df: DataFrame, key: str = "parsed_id") -> DataFrame:
     return text.unionByName(meta).where(F.col("value").rlike(r"[^\x00-\x7f]"))
 
 
-def fit(odd: DataFrame, sample: int = SAMPLE) -> Classifier:
-    """The model of a bounded sample of the values: those whose hashes are in the lowest part of all hashes, so that about ``sample`` of them, and
-    at most twice as many, come to the driver; the same for the same values, however they are laid out."""
-    odd = odd.where(F.length("value") <= SAMPLE_CHARS)
-    n = odd.count()
-    highest = -(2**63) + int(2**64 * min(1.0, sample / max(n, 1))) - 1
-    rows = odd.where(F.xxhash64("value") <= F.lit(highest)).select("value").distinct().limit(2 * sample).collect()
-    return learn(sorted(r["value"] for r in rows))
+KEYS = 1 << 18  # keys that a task holds before it hands them on
 
 
-def affected(df: DataFrame, key: str = "parsed_id", sample: int = SAMPLE) -> DataFrame:
+def _key_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``key`` and ``n``, partial sums, of a column of values."""
+    times: Counter = Counter()
+    for batch in batches:
+        count(batch.column(0).to_pylist(), times)
+        if len(times) >= KEYS:
+            yield pa.record_batch({"key": pa.array(times.keys(), pa.string()), "n": pa.array(times.values(), pa.int64())})
+            times.clear()
+    yield pa.record_batch({"key": pa.array(times.keys(), pa.string()), "n": pa.array(times.values(), pa.int64())})
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of keys and their sums: ``at`` (-1), ``hash`` and ``n`` of those that are known; place in the table, 0 and ``n`` of the training counts."""
+    table = np.zeros((len(CHAINS) + 4, BUCKETS), np.int64)
+    for batch in batches:
+        pairs = list(zip(batch.column("key").to_pylist(), batch.column("n").to_pylist()))
+        table += training_of(k for k, _ in pairs)
+        known = [(hashed(k), n) for k, n in pairs if counts(k, n)]
+        yield pa.record_batch({"at": pa.array([-1] * len(known), pa.int32()), "hash": pa.array([h for h, _ in known], pa.int64()), "n": pa.array([n for _, n in known], pa.int64())})
+    at = np.flatnonzero(table)
+    yield pa.record_batch({"at": pa.array(at.astype(np.int32)), "hash": pa.array(np.zeros(len(at), np.int64)), "n": pa.array(table.ravel()[at])})
+
+
+def fit(odd: DataFrame) -> Classifier:
+    """The model of all different values: ``learn`` of them, with the values judged and counted where they are. The driver gets the training counts,
+    at most one for each class and bucket, and 16 bytes for each word and shape that is known; no words and no values."""
+    keyed = odd.select("value").distinct().mapInArrow(_key_counts, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    rows = keyed.mapInArrow(_summed, "at int, hash long, n long").groupBy("at", "hash").agg(F.sum("n").alias("n")).toArrow()
+    at, hashes, n = (rows.column(c).to_numpy() for c in ("at", "hash", "n"))
+    table = np.zeros((len(CHAINS) + 4) * BUCKETS, np.int64)
+    table[at[at >= 0]] = n[at >= 0]
+    return Classifier(table.reshape(-1, BUCKETS), Known(hashes[at < 0], n[at < 0]))
+
+
+def affected(df: DataFrame, key: str = "parsed_id") -> DataFrame:
     """``key``, field, value, restored, chains, complete of the affected values of ``text`` and ``metadata``."""
     odd = values(df, key)
-    model = df.sparkSession.sparkContext.broadcast(fit(odd, sample))
+    model = df.sparkSession.sparkContext.broadcast(fit(odd))
     return odd.withColumn("_r", repaired(F.col("value"), model)).where("_r is not null").select(key, "field", "value", "_r.restored", "_r.chains", "_r.complete")
 
 

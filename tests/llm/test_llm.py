@@ -2,6 +2,7 @@ import random
 import re
 import string
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -273,6 +274,25 @@ def test_mojibake_with_a_sample_of_the_input(spark):
     assert mojibake.found(df.limit(0)).count() == 0
 
 
+def test_mojibake_learns_from_all_values(spark):
+    """Long values and words of two values among many count, values delivered again do not, and errors that the seeds miss do not become clean words by their number."""
+    letters = "äöüßéèêñçó"
+    rare = [f"L{letters[k // 10]}mi{letters[k % 10]}kol" for k in range(40)]
+    texts = [f"It cost €{k}, – or less" for k in range(9000)] + [f"{w} {k}" for w in rare for k in range(2)] + ["Ein Öhrling", "Ein Öhrling"] + [f"It cost Ä{k}" for k in range(30)]
+    long = ["plain text " * 1000 + f"§§{k} ★{k}" for k in range(12)]
+    df = spark.createDataFrame([(k, t, None) for k, t in enumerate(texts + long)], "parsed_id long, text string, metadata map<string,string>")
+    odd = mojibake.values(df)
+    model, same = mojibake.fit(odd), mojibake.learn(sorted(set(texts + long)))
+    assert np.array_equal(model.log, same.log) and np.array_equal(model.known.hashes, same.known.hashes) and np.array_equal(model.known.times, same.known.times)
+    assert all(model.known.word(w) == 2 for w in rare) and model.known.word("Öhrling") == 0
+    assert model.known.of("s★0") == model.known.of("s§§0") == 12 and model.known.of("sÄ0") == 30
+    other = mojibake.fit(odd.repartition(7))
+    assert np.array_equal(model.log, other.log) and np.array_equal(model.known.times, other.known.times)
+    assert mojibake.repair(mojibake.garble("ΔT", ("utf-8", "cp1252", 2))) == ("ΔT", ["utf-8>cp1252 x2"], True)
+    first = texts.index("It cost Ä0")
+    assert sorted(r[0] for r in mojibake.found(df).collect()) == list(range(first, first + 30))
+
+
 def test_personal_data(spark):
     names = spark.createDataFrame([("Zudra", "given"), ("Sorin", "given"), ("Lindoford", "family"), ("Quimquist", "family"), (None, None)], "name string, kind string")
     text = "Dr. Zudra Lindoford, x@y.example or z (at) w [dot] test, call (402) 555-0105, ID 666-72-9566, 12 Oak Lane; Quimquist, Sorin. The Lindoford index. Lindoford & Sons"
