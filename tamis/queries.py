@@ -572,7 +572,7 @@ def stream_reports(spark, sf_dir):
     from tamis.streaming.scan import read_stream, scan_stream
 
     folder = checkpoint_dir(spark).rstrip("/") + f"/stream-{os.urandom(6).hex()}"
-    docs = read_stream(spark, sf_dir, load(spark, sf_dir, "parsed_document").schema, "parsed_document.parquet")
+    docs = read_stream(spark, sf_dir, "parsed_document")
     scan_stream(docs, f"{folder}/out", f"{folder}/state", ALL_DETECTORS).awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("parsed_id", "verdict", F.round("risk_score", 6).alias("risk_score"))
 

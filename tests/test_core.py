@@ -81,6 +81,27 @@ def test_stream_equals_batch(spark, tmp_path):
     assert of("stream_reports") == of("pipeline_reports") and of("stream_reports")[2][0] == "BLOCK"
 
 
+def test_stream_of_a_table_of_many_files(spark, tmp_path):
+    from tamis import queries
+    from tamis.streaming.scan import read_stream
+
+    rows = [(i, f"{i}.pdf", "pdf" if i % 2 else "docx", detectors.EICAR if i == 2 else "plain", {}) for i in range(6)]
+    made = spark.createDataFrame(rows, "parsed_id long, file_path string, file_type string, text string, metadata map<string,string>").repartition(3)
+    made.write.parquet(str(tmp_path / "flat" / "parsed_document.parquet"))
+    for part in (tmp_path / "flat" / "parsed_document.parquet").glob("*part*"):
+        part.unlink() if part.name.startswith(".") else part.rename(part.with_suffix(""))
+    assert {r["parsed_id"]: r["verdict"] for r in queries.stream_reports(spark, str(tmp_path / "flat")).collect()} == {i: "BLOCK" if i == 2 else "ALLOW" for i in range(6)}
+    made.write.partitionBy("file_type").parquet(str(tmp_path / "parts" / "parsed_document.parquet"))
+    made.coalesce(1).write.parquet(str(tmp_path / "made"))
+    (tmp_path / "beside").mkdir()
+    made.write.partitionBy("file_type").parquet(str(tmp_path / "beside" / "other.parquet"))
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "beside" / "parsed_document.parquet")
+    for layout in ("parts", "beside"):
+        docs = read_stream(spark, str(tmp_path / layout), "parsed_document").select("parsed_id", "file_type")
+        docs.writeStream.format("memory").queryName(f"read_{layout}").trigger(availableNow=True).start().awaitTermination()
+        assert sorted(map(tuple, spark.table(f"read_{layout}").collect())) == [(r[0], r[2]) for r in rows]
+
+
 def test_wide_letters_in_comments_and_base64(spark):
     import base64
 
